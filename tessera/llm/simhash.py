@@ -160,13 +160,13 @@ def _pairs(most: int):
 def links(points: DataFrame, most: int = 4, groups: int = GROUPS) -> DataFrame:
     """Distinct (a, b) among the distinct fingerprints `fp` that connect whatever links within `most` bits connect."""
     cells = stage(_cells(points, most, groups), "simhash-cells")
-    sizes = cells.groupBy(F.col("cell").alias("c")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Blocks of a large cell meet in pairs: (i, i) within, (i, j) across. Cells of one point have no pair.
-    parts = F.expr(f"(n + {CELL_ROWS} - 1) div {CELL_ROWS}").cast("int")
-    dealt = cells.join(sizes, F.col("cell") == F.col("c")).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
-    one = dealt.where("parts = 1").select("fp", F.col("cell").alias("task"))
+    sizes = cells.groupBy(F.col("cell").alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS)
+    # Only large cells are met by a join; their blocks are compared in pairs: (i, i) within, (i, j) across.
+    sizes = stage(sizes.withColumn("parts", F.expr(f"(n + {CELL_ROWS} - 1) div {CELL_ROWS}").cast("int")), "simhash-large")
+    dealt = cells.join(sizes, F.col("cell") == F.col("c"), "left").withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    one = dealt.where("parts is null").select("fp", F.col("cell").alias("task"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    many = dealt.where("parts > 1").select("fp", "cell", "own", other)
+    many = dealt.where("parts is not null").select("fp", "cell", "own", other)
     many = many.select("fp", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
     tasks = one.unionByName(many).repartition("task").sortWithinPartitions("task")
     return tasks.mapInArrow(_pairs(most), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("_")).select("a", "b")
