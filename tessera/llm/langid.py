@@ -87,6 +87,7 @@ class Model:
             for state, row in enumerate(trans):
                 for c, to in row.items():
                     table[state, code[c]] = to * self.width * 2
+            table[0] |= 1  # state 0 is left only where a phrase begins
             self.tables.append(table.ravel())
             self.log.append(float(np.log2(max(2, len(folded[k])))))
 
@@ -105,7 +106,7 @@ class Model:
         codes = self.symbol[data]
         out = np.zeros((len(sizes), len(self.langs)))
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(owner), np.int32), np.ones(len(owner), np.int32)
+            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
             for step, n in zip(steps.tolist(), active.tolist()):
                 to = table[state[:n] + codes[start[:n] + step]]
                 count[:n] += to & 1
