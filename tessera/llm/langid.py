@@ -19,6 +19,8 @@ from .common import id_fold, slices, utf8
 
 #: Bytes of labelled text for each language, and of one document at most.
 SAMPLE_BYTES, DOC_BYTES, SAMPLE_DOCS = 24_000, 800, 200
+#: Labels of which the counts are broadcast at most.
+MOST_LABELS = 100_000
 #: A text is parsed in stretches of so many bytes, each from a phrase's start, so that long texts don't hold up others.
 STRETCH = 512
 #: Symbols: 1 for each kind of byte; see fold().
@@ -134,6 +136,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     )
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     part = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n") < SAMPLE_DOCS
+    # A row for each label: sent to all tasks where it is small, which is checked, so that no text is shuffled by label.
+    if counts.count() <= MOST_LABELS:
+        counts = F.broadcast(counts)
     some = rows.join(counts, "lang").where(part).select("lang", "h", F.substring("text", 1, DOC_BYTES).alias("text"))
     samples: dict[str, bytearray] = {}
     for r in sorted(some.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
