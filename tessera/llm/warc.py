@@ -8,6 +8,7 @@ Payloads seen before become revisit records.
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import OWN, stage, work_dir
 
-#: Bytes of a segment's block, of a chunk of an HTTP body, and of an archive file.
+#: Bytes of a segment's block, of a chunk of an HTTP body, and (about) of an archive's payloads.
 SEGMENT_BYTES, CHUNK_BYTES, FILE_BYTES = 8192, 4096, 16 << 20
 #: Shorter payloads are never revisits.
 REVISIT_BYTES = 1000
@@ -69,9 +70,9 @@ def records(kind: str, ident: str, fields: list[tuple[str, str]], block: bytes,
         yield record(more, block[(k - 1) * segment : k * segment])
 
 
-def parse(archive: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields by lower-case name, block) of an archive's records."""
-    whole, at = bytes(archive), 0
+    whole, at = archive, 0
     while at < len(whole):
         end = whole.find(b"\r\n\r\n", at)
         if not whole.startswith(b"WARC/", at) or end < 0:
@@ -114,8 +115,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     digests = stage(rows.select("id", "row", F.sha1("body").alias("digest"), F.octet_length("body").cast("long").alias("n")), "warc-digests")
     long = digests.where(F.col("n") >= revisit_bytes)
     heads = long.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    total = digests.agg(F.sum("n")).first()[0] or 0
-    files = max(1, -(-int(total * 1.1) // file_bytes))
+    total, rows_n = (x or 0 for x in digests.agg(F.sum("n"), F.count(F.lit(1))).first())
     revisits = long.join(heads.select(F.col("digest").alias("d"), "head"), F.col("digest") == F.col("d")).where("row <> head.row").select(F.col("row").alias("r"), F.col("head.id").alias("of"), F.col("head.row").alias("of_row"))
     revisits = stage(revisits, "warc-revisits")
     marked = rows.join(revisits, F.col("row") == F.col("r"), "left").withColumn("digest", F.sha1("body"))
@@ -136,10 +136,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                         out += records("revisit", ident, fields, http + b"\r\n", segment)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    # Rows go evenly to archives by their number in the scan. The text sink writes each value's bytes as they are and closes
-    # a record with its two line ends, on any file system that Spark can write.
-    dealt = marked.select("id", "url", "body", "row", "digest", "r", "of", "of_row").repartitionById(files, F.pmod(F.xxhash64("row"), F.lit(files)).cast("int"))
-    dealt.mapInArrow(build, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").text(path)
+    # Each scan task writes its own archives, gzipped; the sink begins a new one after so many records. It writes each
+    # value's bytes as they are and closes a record with its two line ends, on any file system that Spark can write.
+    most = max(1, int(file_bytes * rows_n / max(1, total)))
+    made = marked.select("id", "url", "body", "row", "digest", "r", "of", "of_row").mapInArrow(build, "value binary").select(F.col("value").cast("string"))
+    made.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -149,7 +150,7 @@ def read_archives(spark, path: str) -> DataFrame:
     def split(batches):
         for batch in batches:
             for content in batch.column("content"):
-                for at in _runs(parse(content.as_buffer())):
+                for at in _runs(parse(gzip.decompress(content.as_buffer()))):
                     yield pa.RecordBatch.from_pylist(at, schema=PARTS)
 
     PARTS = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("stated", pa.int64()), ("whole", pa.bool_()), ("block", pa.binary())])
