@@ -18,6 +18,8 @@ from .common import OWN, stage
 RANK_ROWS = 2000
 #: The knapsack fills a rest of at most so many words; larger rests are first filled by whole lengths.
 FILL = 1 << 16
+#: Lengths of all sources, and parts of large ones, that are broadcast at most.
+PLAN_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -138,6 +140,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0,
         F.col("source").alias(f"{OWN}s"), F.col("size").alias(f"{OWN}z"), "n", "source_size", "target", "copies", "take",
         F.expr(f"n div {RANK_ROWS} + 1").alias(f"{OWN}parts"),
     )
+    plan = _small(plan)
     chosen = rows.join(plan, rows[f"{OWN}source"].eqNullSafe(plan[f"{OWN}s"]) & (rows["size"] == plan[f"{OWN}z"]))
     # The hash orders a length's documents; its upper part deals a large group into parts of about RANK_ROWS, in order.
     part = F.pmod(F.xxhash64(f"{OWN}hash"), F.lit(1 << 20)) * F.col(f"{OWN}parts") / F.lit(1 << 20)
@@ -151,7 +154,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0,
         split.groupBy(*group).agg(F.count(F.lit(1)).alias("m"))
         .withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy(f"{OWN}s", f"{OWN}z").orderBy(f"{OWN}part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     )
-    before = before.select(*[F.col(c).alias(f"{c}2") for c in group], "before")
+    before = _small(stage(before.select(*[F.col(c).alias(f"{c}2") for c in group], "before"), "mix-before"))
     same = F.lit(True)
     for c in group:
         same = same & split[c].eqNullSafe(before[f"{c}2"])
@@ -162,6 +165,11 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0,
     return flat.select(*out).unionByName(ranked.select(*out))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast where it has at most PLAN_ROWS rows of a few numbers; else Spark chooses the join."""
+    return F.broadcast(df) if df.count() <= PLAN_ROWS else df
+
+
 def digest(mixed: DataFrame) -> DataFrame:
     """The columns of op10 from mixed rows."""
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
