@@ -24,7 +24,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash links connect (4-word shingles, at most 4 bits), the document with the least id."""
+    """Of each group that SimHash links connect (4-word shingles, at most 4 bits), the document with the least id. Rows that
+    share that id stay together, and rows without an id stay."""
     ids = simhash.near_duplicates(docs)
     gone = ids.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
