@@ -87,27 +87,29 @@ def _cells(points: DataFrame, most: int, groups: int) -> DataFrame:
 
 
 def links_in_cell(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links within `most` bits: (point, point) such that linked points stay connected.
+    """A spanning forest of the links within `most` bits: (point, point), at most one fewer than the points.
 
-    Each point not yet reached is compared with all points whose bit count is within `most`, so that every link either
-    is found or joins points that are already connected; in a dense group few points are left to compare.
+    Each point is compared with all points after it, in order of bit counts, whose bit count is within `most` and that no
+    link connects to it yet; of each component so met one link is kept.
     """
     order = np.argsort(np.bitwise_count(fp), kind="stable")
     fp = fp[order]
     ones, counts = np.bitwise_count(fp).astype(np.int16), segment_counts(fp)
-    left, a, b = np.ones(len(fp), bool), [], []
+    ends = np.searchsorted(ones, ones + most, "right").tolist()
+    label, met, a, b = np.arange(len(fp)), np.zeros(len(fp), bool), [], []
     for i in range(len(fp)):
-        if not left[i]:
-            continue
-        lo, hi = np.searchsorted(ones, ones[i] - most), np.searchsorted(ones, ones[i] + most, "right")
+        near = np.flatnonzero(label[i + 1 : ends[i]] != label[i]) + i + 1
         # Lower bound first: counts that differ in over `most` segments can't be within `most` bits.
-        x = counts[lo:hi] ^ counts[i]
-        near = np.flatnonzero(np.bitwise_count((x | x >> np.uint64(1)) & _LOW) <= most) + lo
+        x = counts[near] ^ counts[i]
+        near = near[np.bitwise_count((x | x >> np.uint64(1)) & _LOW) <= most]
         near = near[np.bitwise_count(fp[near] ^ fp[i]) <= most]
-        left[near] = False
-        near = near[near != i]
-        a.append(np.full(len(near), fp[i]))
-        b.append(fp[near])
+        if len(near):
+            heads, first = np.unique(label[near], return_index=True)
+            met[heads] = True
+            label[met[label]] = label[i]
+            met[heads] = False
+            a.append(np.full(len(first), fp[i]))
+            b.append(fp[near[first]])
     none = np.zeros(0, np.uint64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 

@@ -7,6 +7,8 @@ import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
+from operator import xor
 
 import numpy as np
 import pytest
@@ -157,6 +159,22 @@ def test_simhash_links_dense_chains_and_blocks(spark, monkeypatch):
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(f for f in root if root[f] == r) for r in set(root.values())}
 
 
+def test_links_in_cell_connect_all_that_links_connect():
+    """Also two points whose only link is between them, while others reached each of them before."""
+    ends = [0x3FF00000, 0x3FF0000F, 0x3C003F00000, 0x3C003F0000F]
+    rng, sets = np.random.default_rng(3), [[x ^ y for x in ends for y in (0, 1 << 60)]]
+    for _ in range(60):
+        flips = [[1 << int(k) for k in rng.integers(0, 64, rng.integers(0, 7))] for _ in range(120)]
+        bases = [int(x) for x in rng.integers(0, 1 << 63, 8)]
+        sets.append([bases[k % 8] ^ reduce(xor, f, 0) for k, f in enumerate(flips)])
+    for points in sets:
+        points = sorted(set(points))
+        a, b = simhash.links_in_cell(np.array(points, np.uint64), 4)
+        assert all(bin(int(x) ^ int(y)).count("1") <= 4 for x, y in zip(a, b))
+        want = len(set(brute_components(points, 4).values()))
+        assert len(points) - len(a) == want  # a forest with as many trees as there are components
+
+
 def test_popcount_distance_is_a_lower_bound():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 500).astype(np.uint64)
