@@ -64,6 +64,21 @@ def with_stats(gadgets: DataFrame) -> DataFrame:
     return gadgets.select("id", "enc").mapInArrow(run, "id long, enc binary, " + ", ".join(f"{c} int" for c in cols))
 
 
+def decoded(gadgets: DataFrame) -> DataFrame:
+    """(id, s, a, b, t, directed): the edges of each row (id, enc); an undirected edge is one row."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, enc in zip(batch.column("id").to_pylist(), batch.column("enc").to_pylist()):
+                _, _, undirected, directed = G.decode_edges(enc)
+                rows += [(i, *e, d) for es, d in ((undirected, False), (directed, True)) for e in es]
+            kinds = [pa.int64(), *[pa.int32()] * 4, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", *"sabt", "directed"])
+
+    return gadgets.select("id", "enc").mapInArrow(run, "id long, s int, a int, b int, t int, directed boolean")
+
+
 def commit(store: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(store, edges) after an operation: new gadgets get ids, full edges their output's id. Written once, then read."""
     made = materialise(made, "made")

@@ -244,6 +244,55 @@ def gen_spinners(s, d):
     return s.createDataFrame([(z, e[1], e[2]) for z in range(3, 17) for e in gen.spinner(z)], "n int, a int, b int")
 
 
+#: Layouts of the ports of doors as digits, and whether they have a traverse line: orders of each set of labels, least of all images.
+LAYOUT_SQL = """WITH RECURSIVE sets(rest) AS (SELECT o || t || c FROM (VALUES ('00'), ('12'), ('0')) x(o), (VALUES (''), ('33'), ('45')) y(t), (VALUES ('66'), ('78')) z(c)),
+    p(rest, made) AS (SELECT rest, '' FROM sets UNION SELECT substr(rest, 1, k - 1) || substr(rest, k + 1), made || substr(rest, k, 1) FROM (SELECT rest, made, unnest(range(1, length(rest) + 1)) AS k FROM p WHERE rest <> '')),
+    i AS (SELECT made, unnest([w, reverse(w)]) AS v, r FROM (SELECT made, made AS w FROM p WHERE rest = ''), range(6) t(r) WHERE r < length(made))
+    SELECT DISTINCT min(substr(v, r + 1) || substr(v, 1, r)) AS layout FROM i GROUP BY made"""
+#: Edges of all doors by the rules of door().
+DOOR_SQL = f"""WITH lay AS ({LAYOUT_SQL}),
+    n AS (SELECT layout, line, CAST(CASE WHEN contains(layout, line) THEN strpos(layout, line) - 1 ELSE strpos(layout, way_in) - 1 END AS INTEGER) AS a,
+        CAST(CASE WHEN contains(layout, line) THEN length(layout) - strpos(reverse(layout), line) ELSE strpos(layout, way_out) - 1 END AS INTEGER) AS b, NOT contains(layout, line) AS dir
+        FROM lay, (VALUES ('0', '1', '2'), ('3', '4', '5'), ('6', '7', '8')) x(line, way_in, way_out) WHERE contains(layout, line) OR contains(layout, way_in)),
+    shape AS (SELECT layout, bool_or(line = '3') AS tr, bool_or(line = '0' AND a = b) AS one FROM n GROUP BY layout),
+    v AS (SELECT layout, o, c, d FROM shape, range(3) x(o), range(3) y(c), range(1, 6) z(d) WHERE CASE
+        WHEN tr AND NOT one THEN d = 1 WHEN tr THEN d = 1 AND o = 0 WHEN one THEN o = 0 AND c = 1
+        ELSE (c = 1 AND o < 2) OR (d = 1 AND o + c >= 3) END),
+    e AS (SELECT v.*, line, a, b, dir, CASE line WHEN '0' THEN o WHEN '6' THEN c ELSE 0 END AS sign FROM v JOIN n USING (layout)),
+    name AS (SELECT layout, o, c, d, 'door-' || string_agg(CASE WHEN sign = 2 THEN 'o' ELSE '' END || CASE WHEN sign > 0 THEN 's' ELSE '' END || CASE WHEN dir THEN 'd' ELSE '' END || a || CASE WHEN a = b THEN 'x' ELSE CAST(b AS VARCHAR) END, '' ORDER BY line) || CASE WHEN d > 1 THEN '-closedelay' || d ELSE '' END AS name FROM e GROUP BY layout, o, c, d),
+    w AS (SELECT *, a AS f, b AS g FROM e UNION ALL SELECT *, b, a FROM e WHERE NOT dir AND a <> b),
+    moves AS (SELECT layout, o, c, d, s, f AS a, g AS b, 0 AS t, NOT (s = 0 AND a = b) AS directed FROM w, range(7) x(s) WHERE line = '0' AND s <= d AND (o = 0 OR s = d)
+        UNION ALL SELECT layout, o, c, d, s, f, g, s + 1, true FROM w, range(7) x(s) WHERE line = '6' AND s < d),
+    stays AS (SELECT layout, o, c, d, s, a, b, s, dir FROM e, range(7) x(s) WHERE s <= d AND CASE line WHEN '0' THEN o = 2 AND s = d WHEN '3' THEN s < d ELSE (s < d AND c = 2) OR (s = d AND c = 0) END)
+    SELECT name, CAST(s AS INTEGER) AS s, a, b, CAST(t AS INTEGER) AS t, directed FROM (SELECT * FROM moves UNION ALL SELECT * FROM stays) JOIN name USING (layout, o, c, d)"""
+
+
+@query("gen_door_layouts", LAYOUT_SQL)
+def gen_door_layouts(s, d):
+    return s.createDataFrame([("".join(map(str, x)),) for shape in gen.DOORS for x in gen.door_layouts(*shape)], "layout string")
+
+
+@query("gen_doors", DOOR_SQL)
+def gen_doors(s, d):
+    rows = [(x["name"], *e, way) for x in gen.doors() for way, es in ((False, x["uedges"]), (True, x["dedges"])) for e in es]
+    return s.createDataFrame(rows, "name string, s int, a int, b int, t int, directed boolean")
+
+
+@query("gen_io", """WITH tun(k, kind, outs, effect) AS (VALUES (0, 'diupwire', 1, 'up'), (1, 'didownwire', 1, 'down'), (2, 'ditripwire', 1, 'trip'), (3, 'point', 2, NULL), (4, 'uppoint', 2, 'up'), (5, 'downpoint', 2, 'down'), (6, 'trippoint', 2, 'trip')),
+    cfg(i1, i2, o1, o2) AS (VALUES (0, 1, 2, 3), (0, 2, 1, 3)),
+    aim AS (SELECT i1, i2, n, x, CASE WHEN n = 2 THEN o1 + o2 - x END AS y FROM cfg, range(1, 3) t(n), (VALUES (true), (false)) f(first), LATERAL (SELECT CASE WHEN first THEN o1 ELSE o2 END) l(x)),
+    g AS (SELECT p.i1, p.i2, l.kind AS k1, r.kind AS k2, l.effect AS e1, r.effect AS e2, l.outs - 1 AS b1, r.outs - 1 AS b2, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2
+        FROM tun l JOIN tun r ON l.k <= r.k JOIN aim p ON p.n = l.outs JOIN aim q ON q.n = r.outs AND q.i2 = p.i2
+        WHERE l.outs + r.outs > 2 AND coalesce(l.effect, r.effect) IS NOT NULL
+        AND coalesce(CASE WHEN l.effect <> 'trip' THEN l.effect END, CASE WHEN r.effect <> 'trip' THEN r.effect END, '') <> 'down' AND (p.y IS NOT NULL OR q.y IS NOT NULL OR p.x <> q.x)),
+    st AS (SELECT *, CAST(s AS INTEGER) AS st, (1 << (b1 + b2)) - 1 AS top, i1 || x1::VARCHAR || coalesce(y1::VARCHAR, '') || '-' || k1 || '-' || i2 || x2::VARCHAR || coalesce(y2::VARCHAR, '') || '-' || k2 AS name FROM g, range(4) r(s) WHERE s < (1 << (b1 + b2)))
+    SELECT name, st AS s, CAST(i1 AS INTEGER) AS a, CAST(CASE WHEN b1 = 1 AND (st >> b2) & 1 = 1 THEN y1 ELSE x1 END AS INTEGER) AS b, CAST(CASE e1 WHEN 'up' THEN 0 WHEN 'down' THEN top WHEN 'trip' THEN xor(st, top) ELSE st END AS INTEGER) AS t FROM st
+    UNION ALL SELECT name, st, i2, CASE WHEN b2 = 1 AND st & 1 = 1 THEN y2 ELSE x2 END, CASE e2 WHEN 'up' THEN 0 WHEN 'down' THEN top WHEN 'trip' THEN xor(st, top) ELSE st END FROM st""")
+def gen_io(s, d):
+    rows = [(name, *e) for shape in gen.io_shapes(4) for name, edges, _ in gen.io_gadgets(*shape) for e in edges]
+    return s.createDataFrame(rows, "name string, s int, a int, b int, t int")
+
+
 # puzzles
 
 def _line_sql(clue, cells):

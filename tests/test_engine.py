@@ -14,6 +14,7 @@ from tessera.functions import codec, generators, puzzles
 from tessera.functions import gadgets as G
 from tessera.functions import regex as R
 from tessera.operators import intervals as iv
+from tessera.operators import gadget_ops
 from tessera.operators import relations as rel
 from tessera.operators import search
 from tessera.plans import catalog
@@ -156,7 +157,7 @@ def test_gadget_facts():
     for turn in range(4):  # rotation of the locations and renaming of states don't matter
         assert G.from_edges([(s, (a + turn) % 4, (b + turn) % 4, t) for s, a, b, t in two_toggle]) == G.from_edges(two_toggle)
     assert G.encode(G.decode(split(5))) == split(5)
-    assert [n for n, _ in G.definitions("d", [], [(0, 0, 1, 0)])] == ["d"]
+    assert list(G.Naming("d", [], [(0, 0, 1, 0)]).names) == ["d"]
     for v in (0, 127, 128, 2**14 - 1, 2**14, 2**56 - 1, 2**56, 2**64 - 1):
         assert codec.read_varint(codec.write_varint(v)) == (v, len(codec.write_varint(v)))
 
@@ -176,6 +177,67 @@ def test_sources(spark, tmp_path):
     assert list(q.solutions()) == [(0, 1, 3)]
 
 
+def test_names_of_definitions():
+    toggle = G.Naming("t", [(0, 0, 1, 1)])  # turning it round changes its state
+    assert list(toggle.names) == ["t"] and toggle.log == [("t", "t", 0, toggle.log[0][3], -1)]
+    lock = [(0, 0, 1, 0), (0, 2, 3, 1), (0, 3, 2, 1)]
+    made = G.Naming("l", lock)
+    assert set(made.names) == {"l", "l-0", "l-1"} and made.names["l"] == made.names["l-0"] + made.names["l-1"]
+    custom = G.Naming("l", lock, state_names={0: "open"})
+    assert set(custom.names) == {"l", "l-open"}
+    assert set(G.Naming("l", lock, state_names={0: None}).names) == {"l"}
+    assert set(G.Naming("l", lock, [(1, 1, 3, 2)]).names) >= {"l"}
+    twisted = G.Naming("c", [], [(0, 0, 1, 0), (0, 1, 2, 0), (0, 0, 3, 0)])
+    assert set(twisted.names) == {"c", "c-r", "c-s"} and twisted.names["c"] == twisted.names["c-r"] + twisted.names["c-s"]
+    assert G.mirror(twisted.names["c-r"][0]) == twisted.names["c-s"][0]
+    with pytest.raises(ValueError):
+        G.Naming("t", [(0, 0, 1, 1)], state_names={0: "a", 1: "b"})
+    assert set(G.Naming("t", [(0, 0, 1, 1)], state_names={0: "a", 1: "b"}, prunable=True).names) == {"t", "t-a"}
+    with pytest.raises(ValueError):
+        G.with_aliases({"a": []}, [("b", "c")])
+    assert set(G.with_aliases({"a": []}, [("b", "a"), ("c", "b")])) == {"a", "b", "c"}
+
+
+def test_names_and_dumps_round_trip(spark, tmp_path):
+    doc = {"gadgets": {"wire": {"uedges": [[0, 0, 1, 0]]}, "l": {"uedges": [[0, 0, 1, 0], [0, 2, 3, 1], [0, 3, 2, 1]], "state-names": {"0": "open", "1": "shut"}}}, "aliases": {"w": "wire", "v": "w"}}
+    (tmp_path / "g.json").write_text(json.dumps(doc))
+    read = definitions.read_gadgets(spark, str(tmp_path / "g.json"))
+    rows = definitions.names_of(read).collect()
+    assert {r.name for r in rows} == {"wire", "w", "v", "l", "l-open", "l-shut"} and len({bytes(r.enc) for r in rows if r.name in ("wire", "w", "v")}) == 1
+    assert {tuple(r)[:3] for r in definitions.name_log(read).collect()} == {("wire", "wire", 0), ("l-open", "l", 0), ("l-shut", "l", 1)}
+    encs = sorted({bytes(r.enc) for r in rows})
+    store = spark.createDataFrame([(k, bytearray(e)) for k, e in enumerate(encs, 1)], "id long, enc binary")
+    edges = gadget_ops.decoded(store)
+    definitions.write_gadgets(edges.select(F.format_string("dumped-%d", "id").alias("name"), *"sabt", "directed"), str(tmp_path / "dump"))
+    back = definitions.names_of(definitions.read_dump(spark, str(tmp_path / "dump"))).collect()
+    assert {bytes(r.enc) for r in back} >= set(encs)
+    named = spark.createDataFrame([(r.name, encs.index(bytes(r.enc)) + 1) for r in rows], "name string, id long")
+    text = "\n".join(r.text for r in definitions.dump_text(gadget_ops.with_stats(store), edges, named).orderBy("id").collect())
+    assert "names: v, w, wire" in text and "groups: l" in text and "undirected edges: [0, 0, 1, 0]" in text
+    (tmp_path / "bad.json").write_text(json.dumps({"gadgets": {"wire": {"uedges": [[0, 0, 1, 0]]}}, "aliases": {"w": "none"}}))
+    with pytest.raises(ValueError):
+        definitions.names_of(definitions.read_gadgets(spark, str(tmp_path / "bad.json")))
+
+
+def test_drawn_gadgets(spark, tmp_path):
+    dot = lambda i, x, y: f'<mxCell id="{i}" style="ellipse;x" parent="g"><mxGeometry x="{x}" y="{y}"/></mxCell>'
+    dots = "".join(dot(f"d{k}", 40 * (k % 3), 40 * (k // 3) + 1) for k in range(6))
+    xml = f'<root><mxCell id="g" style="group"><mxGeometry x="10" y="20"/></mxCell>{dots}<mxCell id="e" style="line" parent="g" source="d5" target="d0"><mxGeometry/></mxCell></root>'
+    (tmp_path / "d.xml").write_text(xml)
+    assert [tuple(r) for r in definitions.drawn_gadgets(spark, str(tmp_path / "d.xml")).collect()] == [("drawn_0", [[0, 0, 2, 1]])]
+
+
+def test_tunnels():
+    toggle, lock, diode = generators.Tunnel([(0, 0, 1, 1)]), generators.Tunnel([(0, 0, 1, 0)], names=("open", "shut"), states=2), generators.Tunnel([], [(0, 0, 1, 0)])
+    assert (toggle.turning, lock.turning, diode.turning) == ("states", "nothing", "else") and diode.same_states and not lock.changes
+    assert set(generators.unblocked({"t": toggle}, {"u": generators.Tunnel([(1, 0, 1, 0)]), "l": lock})) == {"t", "l"}
+    made = {n: (e, names) for n, e, names in generators.tunnel_pairs({"t": toggle, "l": lock, "d": diode})}
+    assert {n for n in made if n.startswith("t-")} == {f"t-t-{x}" for x in ("parallel", "antiparallel", "crossing")} | {f"t-{o}-{x}{m}" for o, m2 in (("l", ("-matched", "-mismatched")), ("d", ("",))) for m in m2 for x in ("noncrossing", "crossing")}
+    assert not any(n.startswith("l-l") for n in made) and made["d-d-parallel"][0] == {(0, 0, 1, 0), (0, 3, 2, 0)}
+    assert made["t-l-crossing-mismatched"] == ({(0, 0, 2, 1), (1, 2, 0, 0), (1, 3, 1, 1), (1, 1, 3, 1)}, {0: "0-shut", 1: "1-open"})
+    assert made["l-t-crossing-mismatched"][1] == {0: "shut-0", 1: "open-1"}
+
+
 def test_streamed_index(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.range(100).select("id", (F.col("id") % 10).alias("v")).repartition(3).write.parquet(source)
