@@ -294,6 +294,7 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str
         coded = stage(dealt.mapInArrow(join, "part int, value binary"), "ids-coded")
 
     def counted(batches):
+        words_of.cache_clear()  # all texts are encoded; workers give the words' memory back
         ranks, total = first_of.value, np.zeros(0, np.int64)
         for batch in batches:
             for value in batch.column("value"):
@@ -308,6 +309,7 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str
     final_of = spark.sparkContext.broadcast(_Ranks(final, end_id))
 
     def recode(batches):
+        words_of.cache_clear()
         first, final = first_of.value, final_of.value
         for batch in batches:
             for value in batch.column("value"):
