@@ -33,7 +33,7 @@ MAGIC = b"TZIDS\x00\x00\x01"
 #: Encoded bytes of a block, and text bytes of a part (one file).
 BLOCK_BYTES, PART_BYTES = 4 << 20, 24 << 20
 #: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 850_000
+REMEMBERED = 400_000
 #: Texts that are encoded at once.
 RUN = 48
 #: Texts that provisional ranks are taken from.
