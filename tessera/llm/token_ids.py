@@ -23,22 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import token_counts
-from .common import OWN, stage, work_dir
+from .common import OWN, slices, stage, work_dir
 
 MAGIC = b"TZIDS\x00\x00\x01"
 #: Encoded bytes of a block, and text bytes of a part (one file).
 BLOCK_BYTES, PART_BYTES = 4 << 20, 24 << 20
-#: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
-#: Texts that are encoded at once.
-RUN = 48
+#: Distinct words that a worker remembers; beyond, it forgets those met once since it last did so.
+REMEMBERED = 300_000
+#: Bytes of texts that are encoded at once.
+RUN_BYTES = 1 << 20
 #: Texts that provisional ranks are taken from.
 SAMPLE = 2000
-_LETTERS, _SIGNS = frozenset("abcdefghijklmnopqrstuvwxyz"), frozenset(",.")
+_LETTERS, _SIGNS = frozenset("abcdefghijklmnopqrstuvwxyz"), ",.;:!?$%*#&"
+#: Stands for the end of a document among its words, none of which has a space.
+END = " "
 # A worker is one of many on its machine: the library's own threads would only compete.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -49,7 +52,7 @@ class Words:
     """Encodes texts word by word, each distinct word once. White space never meets another word's tokens in files whose
     pattern drops it, so that the pieces between spaces are encoded as in the whole text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -61,17 +64,23 @@ class Words:
         plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
         if not plain or self._ids(["  a \n b  "])[0] != self._ids(["a b"])[0]:
             raise ValueError(f"{path} keeps white space; its words can't be encoded apart")
-        #: Where letters and a following sign never share a token and case is dropped, variants of a word are encoded once.
-        one, two, three = self._ids(["ab,", "ab", ","])
-        self.signs = one == two + three
+        #: Where letters and following signs never share a token and case is dropped, variants of a word are encoded once.
+        runs = [*_SIGNS, *(s * 3 for s in _SIGNS), _SIGNS]
+        self.signs = self._ids(["ab" + s for s in runs]) == [self._ids(["ab"])[0] + x for x in self._ids(runs)]
         self.lower = self._ids(["Ab\xc9"])[0] == self._ids(["ab\xe9"])[0]
         #: Words of Latin-1 letters are one pre-token, which the merges alone decide.
         probe = ["abcé", "zürich", "theÿ", "l"]
         self.letters = token_counts.byte_letters()
         self.apart = self.lower and self._ids(probe) == [self._merge(w) for w in probe]
-        self.number = _Numbers()
+        self.end_id, self.ranks, self.number = end_id, None, _Numbers()
         self._clear()
 
+    def rank_by(self, ranks: _Ranks) -> None:
+        """From now on, encode gives ranks instead of ids."""
+        if self.ranks is None or not np.array_equal(self.ranks.rank, ranks.rank):
+            self.ranks = ranks
+            self._clear()
+
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -83,65 +92,104 @@ class Words:
     def _clear(self) -> None:
         self.number.clear()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
-
-    def _split(self, text: str | None) -> list[str]:
-        if not text:
-            return []
+        self.starts, self.sizes, self.met = (np.zeros(1 << 12, t) for t in (np.int64, np.int32, np.int32))
+        self.number[END] = 0
+        self._put([0], [[self.end_id]])
+
+    def _forget(self) -> None:
+        """Keep the words met more than once since the last call, of these the more frequent half of REMEMBERED."""
+        met = self.met[: len(self.number)]
+        keep = np.flatnonzero(met > 1)
+        if len(keep) > REMEMBERED // 2:
+            keep = np.sort(keep[np.argpartition(-met[keep], REMEMBERED // 2)[: REMEMBERED // 2]])
+        keep = np.union1d([0], keep)
+        words = list(self.number)
+        self.number.clear()
+        self.number.update(zip((words[k] for k in keep.tolist()), range(len(keep))))
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[keep] - (ends - sizes), sizes)]
+        self.starts, self.sizes, self.met, self.used = ends - sizes, sizes, met[keep] // 2, int(ends[-1])
+
+    def _words(self, joined: str) -> list[str]:
+        """Words of a list parted by line feeds. Beyond Latin-1, case and composed forms are left to the library."""
         if self.lower:
-            try:  # beyond Latin-1, case and composed forms are left to the library
-                text.isascii() or text.encode("latin-1")
-                text = text.lower()
+            try:
+                joined.isascii() or joined.encode("latin-1")
+                joined = joined.lower()
             except UnicodeEncodeError:
-                pass
-        return text.replace("\n", " ").split(" ")
+                return [w.lower() if w.isascii() or max(w) <= "\xff" else w for w in joined.split("\n")]
+        return joined.split("\n")
 
     def _learn(self) -> None:
         """Find the ids of the words that got numbers since the last call."""
         number, new = self.number, self.number.new
         first = len(number) - len(new)
-        plain, ends, one = [], [], []
-        for k, w in enumerate(new, first):  # grows: the bases of words with a sign may be new too
-            if self.signs and w[-1:] in _SIGNS and w[-2:-1] in _LETTERS:
-                ends.append((k, number[w[:-1]], number[w[-1]]))
-            elif self.apart and w.isalpha() and w.islower() and (w.isascii() or max(w) <= "\xff"):
-                one.append((k, w))
-            else:
-                plain.append((k, w))
+        # Lists side by side, as a tuple for each word would keep the garbage collector busy.
+        plain, plain_at, one, one_at, base, tail, ends_at = [], [], [], [], [], [], []
+        for k, w in enumerate(new, first):  # grows: the bases of words with signs may be new too
+            if w.isalpha():
+                if self.apart and w.islower() and (w.isascii() or max(w) <= "\xff"):
+                    one.append(w)
+                    one_at.append(k)
+                    continue
+            elif self.signs:
+                letters = w.rstrip(_SIGNS)
+                if len(letters) < len(w) and letters[-1:] in _LETTERS:
+                    base.append(number[letters])
+                    tail.append(number[w[len(letters) :]])
+                    ends_at.append(k)
+                    continue
+            plain.append(w)
+            plain_at.append(k)
         if len(number) > len(self.starts):
-            more = len(number) // 2
-            self.starts = np.concatenate([self.starts[:first], np.zeros(len(number) - first + more, np.int64)])
-            self.sizes = np.concatenate([self.sizes[:first], np.zeros(len(number) - first + more, np.int32)])
-        self._put([k for k, _ in plain], self._ids([w for _, w in plain]))
-        self._put([k for k, _ in one], [self._merge(w) for _, w in one])
-        of = lambda k: self.flat[self.starts[k] : self.starts[k] + self.sizes[k]].tolist()
-        self._put([k for k, _, _ in ends], [of(b) + of(s) for _, b, s in ends])
+            more = len(number) * 3 // 2 - first
+            self.starts, self.sizes, self.met = (np.concatenate([a[:first], np.zeros(more, a.dtype)]) for a in (self.starts, self.sizes, self.met))
+        self._put(plain_at, self._ids(plain))
+        tokenize = self.model.tokenize
+        self._put(one_at, [[t.id for t in tokenize(w)] if w.isascii() else self._merge(w) for w in one])
+        at, base, tail = (np.array(x, np.int64) for x in (ends_at, base, tail))
+        pairs = np.stack([base, tail], 1).ravel()
+        self._add(at, self.sizes[base] + self.sizes[tail], self._flat_of(pairs, self.sizes[pairs]))
         new.clear()
 
+    def _flat_of(self, code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids of words end to end."""
+        ends = np.cumsum(sizes, dtype=np.int32 if len(sizes) < 1 << 20 else np.int64)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[code] - (ends - sizes), sizes)]
+
     def _put(self, at: list[int], ids: list) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(total + self.used // 2, np.uint32)])
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        self._add(at, sizes, flat if self.ranks is None else self.ranks.of(flat))
+
+    def _add(self, at, sizes: np.ndarray, flat: np.ndarray) -> None:
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(len(flat) + self.used // 2, np.uint32)])
         self.starts[at] = self.used + np.cumsum(sizes) - sizes
         self.sizes[at] = sizes
-        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
-        self.used += total
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and each text's number of ids."""
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, or ranks, of an array of texts end to end, and each text's number of them; the end id follows each text.
+        Arrow splits the texts and finds the distinct words; only those are looked up."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.number) > REMEMBERED:
-            self._clear()
-        words = [self._split(t) for t in texts]
-        each = np.fromiter(map(len, words), np.int64, len(words))
-        code = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(words)), np.int32, int(each.sum()))
+            self._forget()
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        ends = np.asarray(lists.offsets)[1:] - np.asarray(lists.offsets)[0]
+        words = lists.flatten().dictionary_encode()
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), "\n")[0].as_py()
+        code = np.fromiter(map(self.number.__getitem__, self._words(joined)), np.int32, len(words.dictionary))
+        code = np.insert(code[np.asarray(words.indices)], ends, 0)
         if self.number.new:
             self._learn()
+        np.add.at(self.met, code, np.int32(1))
         sizes = self.sizes[code]
-        ends = np.cumsum(sizes, dtype=np.int32 if len(sizes) < 1 << 20 else np.int64)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[code] - (ends - sizes), sizes)
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(each)))]
-        return self.flat[at], np.diff(bounds)
+        each = np.diff(ends, prepend=0) + 1
+        return self._flat_of(code, sizes), np.add.reduceat(sizes, np.cumsum(each) - each, dtype=np.int64)
 
 
 class _Numbers(dict):
@@ -158,9 +206,9 @@ class _Numbers(dict):
 
 
 @functools.cache
-def words_of(path: str) -> Words:
-    """One for each worker process, so that the second pass knows the words of the first."""
-    return Words(path)
+def words_of(path: str, end_id: int) -> Words:
+    """One for each worker process, so that a task knows the words of those before it."""
+    return Words(path, end_id)
 
 
 def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -241,12 +289,12 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str
     cuts = sorted(set(texts.agg(F.percentile_approx("id", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(100_000))).first()[0] or []))
 
     def sampled(batches):
-        words, total = words_of(tokenizer), np.zeros(0, np.int64)
+        words, total = words_of(tokenizer, end_id), np.zeros(0, np.int64)
         for batch in batches:
-            ids, _ = words.encode(batch.column(0).to_pylist())
-            n = np.bincount(ids, minlength=len(total))
-            n[: len(total)] += total
-            total = n
+            for run in slices(batch.column(0), RUN_BYTES):
+                n = np.bincount(words.encode(run)[0], minlength=len(total))
+                n[: len(total)] += total
+                total = n
         yield _counted(total)
 
     # Provisional ranks only make the shuffle small: about SAMPLE texts serve, other ids follow in any order.
@@ -255,16 +303,18 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str
     first_of = spark.sparkContext.broadcast(_Ranks(first, end_id))
 
     def encode(batches):
-        words, ranks = words_of(tokenizer), first_of.value
+        words = words_of(tokenizer, end_id)
+        words.rank_by(first_of.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, RUN):
-                some = batch.slice(at, RUN)
-                ids, counts = words.encode(some.column("text").to_pylist())
-                ids = np.insert(ids, np.cumsum(counts), end_id)
-                control, data, c, d = pack(ranks.of(ids), counts + 1)
+            at = 0
+            for run in slices(batch.column("text"), RUN_BYTES):
+                some = batch.slice(at, len(run))
+                at += len(run)
+                ranks, counts = words.encode(run)
+                control, data, c, d = pack(ranks, counts)
                 control, data, c, d = control.tobytes(), data.tobytes(), c.tolist(), d.tolist()
                 cut = lambda x, ends: pa.array([x[b:e] for b, e in zip([0, *ends], ends)], pa.binary())
-                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("row"), pa.array(counts + 1, pa.int64()), cut(control, c), cut(data, d)], ["id", "row", "n", "control", "data"])
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("row"), pa.array(counts, pa.int64()), cut(control, c), cut(data, d)], ["id", "row", "n", "control", "data"])
 
     made = texts.mapInArrow(encode, "id long, row long, n long, control binary, data binary").withColumn("part", _part_of(cuts))
     dealt = made.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "row")
