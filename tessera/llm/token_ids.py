@@ -34,7 +34,7 @@ MAGIC = b"TZIDS\x00\x00\x01"
 #: Encoded bytes of a block, and text bytes of a part (one file).
 BLOCK_BYTES, PART_BYTES = 4 << 20, 24 << 20
 #: Distinct words that a worker remembers; beyond, it forgets those met once since it last did so.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 #: Bytes of texts that are encoded at once.
 RUN_BYTES = 1 << 20
 #: Texts that provisional ranks are taken from.
@@ -339,8 +339,8 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str
         if held:
             yield whole()
 
-    # The files of this shuffle aren't needed once its result is written.
-    with _conf(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    # The files of this shuffle aren't needed once its result is written. Small batches leave memory to the words.
+    with _conf(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), _conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):
         coded = stage(dealt.mapInArrow(join, "part int, value binary"), "ids-coded")
 
     def counted(batches):
@@ -361,10 +361,11 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str
     def recode(batches):
         words_of.cache_clear()
         first, final = first_of.value, final_of.value
+        final_rank = final.of(first.back(np.arange(max(first.top, final.top) + 1)))
         for batch in batches:
             for value in batch.column("value"):
                 for part, number, ids, counts, control, data in blocks(value.as_buffer()):
-                    control, data, *_ = pack(final.of(first.back(unpack(control, data, counts))), counts)
+                    control, data, *_ = pack(final_rank[unpack(control, data, counts)], counts)
                     out = block(part, number, ids, counts, control.tobytes(), data.tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out], pa.binary())], ["part", "value"])
 
