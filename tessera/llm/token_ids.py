@@ -13,11 +13,13 @@ document's control bytes begin afresh. The table `ranks` beside the files holds
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import itertools
 import json
 import os
 import struct
+import threading
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +37,8 @@ MAGIC = b"TZIDS\x00\x00\x01"
 BLOCK_BYTES, PART_BYTES = 4 << 20, 24 << 20
 #: Distinct words that a worker remembers; beyond, it forgets those met once since it last did so.
 REMEMBERED = 450_000
+#: Seconds after its last task at which a worker gives its words' memory back; Spark may keep idle workers for long.
+IDLE = 2
 #: Bytes of texts that are encoded at once.
 RUN_BYTES = 1 << 20
 #: Texts that provisional ranks are taken from.
@@ -206,11 +210,34 @@ class _Numbers(dict):
 
 
 @functools.cache
-def words_of(path: str, end_id: int) -> Words:
-    """One for each worker process, so that a task knows the words of those before it."""
+def _words(path: str, end_id: int) -> Words:
     return Words(path, end_id)
 
 
+def give_back() -> None:
+    """Return the memory of remembered words to the machine."""
+    _words.cache_clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_idle = threading.Timer(IDLE, give_back)
+
+
+@contextlib.contextmanager
+def words_of(path: str, end_id: int) -> Iterator[Words]:
+    """One for each worker process, so that a task knows the words of those before it."""
+    global _idle
+    _idle.cancel()
+    try:
+        yield _words(path, end_id)
+    finally:
+        _idle = threading.Timer(IDLE, give_back)
+        _idle.daemon = True
+        _idle.start()
+
+
 def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Control bytes and data bytes of documents of `counts` tokens, and where each document's end in both."""
     ranks = ranks.astype("<u4")
@@ -289,12 +316,13 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str
     cuts = sorted(set(texts.agg(F.percentile_approx("id", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(100_000))).first()[0] or []))
 
     def sampled(batches):
-        words, total = words_of(tokenizer, end_id), np.zeros(0, np.int64)
-        for batch in batches:
-            for run in slices(batch.column(0), RUN_BYTES):
-                n = np.bincount(words.encode(run)[0], minlength=len(total))
-                n[: len(total)] += total
-                total = n
+        total = np.zeros(0, np.int64)
+        with words_of(tokenizer, end_id) as words:
+            for batch in batches:
+                for run in slices(batch.column(0), RUN_BYTES):
+                    n = np.bincount(words.encode(run)[0], minlength=len(total))
+                    n[: len(total)] += total
+                    total = n
         yield _counted(total)
 
     # Provisional ranks only make the shuffle small: about SAMPLE texts serve, other ids follow in any order.
@@ -303,18 +331,18 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str
     first_of = spark.sparkContext.broadcast(_Ranks(first, end_id))
 
     def encode(batches):
-        words = words_of(tokenizer, end_id)
-        words.rank_by(first_of.value)
-        for batch in batches:
-            at = 0
-            for run in slices(batch.column("text"), RUN_BYTES):
-                some = batch.slice(at, len(run))
-                at += len(run)
-                ranks, counts = words.encode(run)
-                control, data, c, d = pack(ranks, counts)
-                control, data, c, d = control.tobytes(), data.tobytes(), c.tolist(), d.tolist()
-                cut = lambda x, ends: pa.array([x[b:e] for b, e in zip([0, *ends], ends)], pa.binary())
-                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("row"), pa.array(counts, pa.int64()), cut(control, c), cut(data, d)], ["id", "row", "n", "control", "data"])
+        with words_of(tokenizer, end_id) as words:
+            words.rank_by(first_of.value)
+            for batch in batches:
+                at = 0
+                for run in slices(batch.column("text"), RUN_BYTES):
+                    some = batch.slice(at, len(run))
+                    at += len(run)
+                    ranks, counts = words.encode(run)
+                    control, data, c, d = pack(ranks, counts)
+                    control, data, c, d = control.tobytes(), data.tobytes(), c.tolist(), d.tolist()
+                    cut = lambda x, ends: pa.array([x[b:e] for b, e in zip([0, *ends], ends)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([some.column("id"), some.column("row"), pa.array(counts, pa.int64()), cut(control, c), cut(data, d)], ["id", "row", "n", "control", "data"])
 
     made = texts.mapInArrow(encode, "id long, row long, n long, control binary, data binary").withColumn("part", _part_of(cuts))
     dealt = made.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "row")
@@ -344,7 +372,7 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str
         coded = stage(dealt.mapInArrow(join, "part int, value binary"), "ids-coded")
 
     def counted(batches):
-        words_of.cache_clear()  # all texts are encoded; workers give the words' memory back
+        give_back()  # all texts are encoded
         ranks, total = first_of.value, np.zeros(0, np.int64)
         for batch in batches:
             for value in batch.column("value"):
@@ -359,7 +387,7 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str
     final_of = spark.sparkContext.broadcast(_Ranks(final, end_id))
 
     def recode(batches):
-        words_of.cache_clear()
+        give_back()
         first, final = first_of.value, final_of.value
         final_rank = final.of(first.back(np.arange(max(first.top, final.top) + 1)))
         for batch in batches:
