@@ -36,7 +36,7 @@ MAGIC = b"TZIDS\x00\x00\x01"
 #: Encoded bytes of a block, and text bytes of a part (one file).
 BLOCK_BYTES, PART_BYTES = 4 << 20, 24 << 20
 #: Distinct words that a worker remembers; beyond, it forgets those met once since it last did so.
-REMEMBERED = 450_000
+REMEMBERED = 650_000
 #: Seconds after its last task at which a worker gives its words' memory back; Spark may keep idle workers for long.
 IDLE = 2
 #: Bytes of texts that are encoded at once.
