@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import codec
 from ..operators import intervals as iv
 from ..operators import relations as rel
 from ..operators import search
-from .base import EDGES, flagged, islands_sql, query, supply_edges, table
+from .base import EDGES, all_supply_edges, flagged, islands_sql, query, supply_edges, table
 
 A, N, R = (f"SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS id FROM lineitem WHERE l_returnflag = '{f}'" for f in "ANR")
 SPANS = "SELECT l_orderkey AS lo, l_orderkey + l_linenumber AS hi FROM lineitem WHERE l_returnflag = 'R'"
@@ -153,8 +155,8 @@ def comp_compact(s, d):
 
 
 @query("comp_rebuild", islands_sql(f"SELECT kind, in1 AS id FROM ({EDGES})", "kind"))
-def comp_rebuild(s, d):
-    return rel.rebuild(supply_edges(s, d))
+def comp_rebuild(s, d, edges=supply_edges):
+    return rel.rebuild(edges(s, d))
 
 
 def seeds(s, d):
@@ -162,33 +164,33 @@ def seeds(s, d):
 
 
 @query("edge_follow", f"SELECT DISTINCT out AS id FROM ({EDGES}) WHERE in1 < 5")
-def edge_follow(s, d):
-    return rel.follow(seeds(s, d), supply_edges(s, d))
+def edge_follow(s, d, edges=supply_edges):
+    return rel.follow(seeds(s, d), edges(s, d))
 
 
 @query("edge_follow_inputs", f"SELECT DISTINCT 'input' AS side, in1 AS id FROM ({EDGES}) WHERE in1 < 5 UNION SELECT DISTINCT 'output', out FROM ({EDGES}) WHERE in1 < 5")
-def edge_follow_inputs(s, d):
-    return rel.follow_with_inputs(seeds(s, d), supply_edges(s, d))
+def edge_follow_inputs(s, d, edges=supply_edges):
+    return rel.follow_with_inputs(seeds(s, d), edges(s, d))
 
 
 @query("edge_skinny", f"SELECT DISTINCT kind, in1, out FROM ({EDGES})")
-def edge_skinny(s, d):
-    return rel.skinny(supply_edges(s, d))
+def edge_skinny(s, d, edges=supply_edges):
+    return rel.skinny(edges(s, d))
 
 
 @query("edge_point", f"SELECT kind, in1, out FROM ({EDGES}) WHERE in1 = 3")
-def edge_point(s, d):
-    return supply_edges(s, d).where("in1 = 3")
+def edge_point(s, d, edges=supply_edges):
+    return edges(s, d).where("in1 = 3")
 
 
 @query("edge_incoming", f"SELECT kind, in1, out FROM ({EDGES}) WHERE out < 5")
-def edge_incoming(s, d):
-    return rel.incoming(supply_edges(s, d), seeds(s, d))
+def edge_incoming(s, d, edges=supply_edges):
+    return rel.incoming(edges(s, d), seeds(s, d))
 
 
 @query("edge_invert", f"SELECT out, count(*) AS n, string_agg(CAST(in1 AS VARCHAR), ',' ORDER BY in1) AS ins FROM (SELECT DISTINCT in1, out FROM ({EDGES})) GROUP BY out")
-def edge_invert(s, d):
-    return rel.inverted(supply_edges(s, d))
+def edge_invert(s, d, edges=supply_edges):
+    return rel.inverted(edges(s, d))
 
 
 PAIRS = "SELECT min(a.doc_id) AS a, min(b.doc_id) AS b FROM documents a JOIN documents b ON a.text = b.text WHERE a.source = 'src0' AND b.source <> 'src0' GROUP BY a.text"
@@ -219,29 +221,34 @@ def one(s):
 
 
 @query("search_closure", islands_sql(f"WITH RECURSIVE e AS ({EDGES}), r(id) AS (SELECT CAST(1 AS BIGINT) UNION SELECT e.out FROM r JOIN e ON e.in1 = r.id) SELECT id FROM r"))
-def search_closure(s, d):
-    return iv.islands(search.closure(one(s), supply_edges(s, d)).select("id"))
+def search_closure(s, d, edges=supply_edges):
+    return iv.islands(search.closure(one(s), edges(s, d)).select("id"))
 
 
 @query("search_steps", f"{STEPS} SELECT id, step FROM m")
-def search_steps(s, d):
-    return search.closure(one(s), supply_edges(s, d)).select("id", "step")
+def search_steps(s, d, edges=supply_edges):
+    return search.closure(one(s), edges(s, d)).select("id", "step")
 
 
 @query("search_inverse", STEPS.replace("e.out, r.step", "e.in1, r.step").replace("ON e.in1 = r.id", "ON e.out = r.id") + " SELECT id, step FROM m")
-def search_inverse(s, d):
-    return search.inverse(one(s), supply_edges(s, d)).select("id", "step")
+def search_inverse(s, d, edges=supply_edges):
+    return search.inverse(one(s), edges(s, d)).select("id", "step")
 
 
 @query("search_provenance", f"""{STEPS} SELECT m.id, m.step, arg_min(e.kind, (e.kind, e.in1)) AS kind, arg_min(e.in1, (e.kind, e.in1)) AS source
     FROM m LEFT JOIN (e JOIN m AS p ON p.id = e.in1) ON e.out = m.id AND p.step = m.step - 1 GROUP BY m.id, m.step""")
-def search_provenance(s, d):
-    return search.closure(one(s), supply_edges(s, d))
+def search_provenance(s, d, edges=supply_edges):
+    return search.closure(one(s), edges(s, d))
 
 
 @query("search_multi_kind", f"WITH RECURSIVE e AS ({EDGES}), r(id) AS (SELECT CAST(1 AS BIGINT) UNION SELECT e.out FROM r JOIN e ON e.in1 = r.id) SELECT id FROM r")
-def search_multi_kind(s, d):
-    return search.by_priority(one(s), supply_edges(s, d), ["close", "connect", "combine"]).select("id")
+def search_multi_kind(s, d, edges=supply_edges):
+    return search.by_priority(one(s), edges(s, d), ["close", "connect", "combine"]).select("id")
+
+
+#: The same over all lines and whole part ids; without SQL, tests hold them against brute force.
+for _f in (comp_rebuild, edge_follow, edge_follow_inputs, edge_skinny, edge_point, edge_incoming, edge_invert, search_closure, search_steps, search_inverse, search_provenance, search_multi_kind):
+    query(f"{_f.__name__}_all")(partial(_f, edges=all_supply_edges))
 
 
 @query("search_generation", """WITH RECURSIVE r(id, generation) AS (SELECT s_suppkey, CAST(0 AS BIGINT) FROM supplier WHERE s_suppkey < 5
