@@ -10,7 +10,7 @@ from ..functions import codec
 from ..operators import intervals as iv
 from ..operators import relations as rel
 from ..operators import search
-from .base import EDGES, all_supply_edges, flagged, islands_sql, query, supply_edges, table
+from .base import EDGES, SQL, all_supply_edges, flagged, islands_sql, query, supply_edges, table
 
 A, N, R = (f"SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS id FROM lineitem WHERE l_returnflag = '{f}'" for f in "ANR")
 SPANS = "SELECT l_orderkey AS lo, l_orderkey + l_linenumber AS hi FROM lineitem WHERE l_returnflag = 'R'"
@@ -81,7 +81,16 @@ BRANDS = "SELECT p_brand AS key, p_partkey AS id FROM part WHERE p_size <= 3"
     SELECT a, b, CASE WHEN EXISTS (SELECT 1 FROM w x JOIN w y ON x.id = y.id WHERE x.key = a AND y.key = b) THEN 'overlap'
         WHEN EXISTS (SELECT 1 FROM i x JOIN i y ON x.hi = y.lo OR y.hi = x.lo WHERE x.key = a AND y.key = b) THEN 'adjacent' ELSE 'separate' END AS state FROM p""")
 def iv_overlap(s, d):
-    k = table(s, d, "part").where("p_size <= 3").select(F.col("p_brand").alias("key"), F.col("p_partkey").alias("id"))
+    return brand_overlap(table(s, d, "part").where("p_size <= 3"))
+
+
+@query("iv_overlap_all", SQL["iv_overlap"].replace(" WHERE p_size <= 3", ""))
+def iv_overlap_all(s, d):
+    return brand_overlap(table(s, d, "part"))
+
+
+def brand_overlap(parts):
+    k = parts.select(F.col("p_brand").alias("key"), F.col("p_partkey").alias("id"))
     wide = k.select("key", F.col("id").alias("lo"), (F.col("id") + F.when(F.col("key") < "Brand#3", 2).otherwise(1)).alias("hi"))
     n = k.select("key").distinct()
     pairs = n.select(F.col("key").alias("a")).join(n.select(F.col("key").alias("b")), F.col("a") < F.col("b"))

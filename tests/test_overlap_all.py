@@ -1,0 +1,15 @@
+"""The overlap of brands takes every part."""
+
+from __future__ import annotations
+
+from tessera.plans import catalog
+
+
+def test_all_parts(spark):
+    d = "/root/testdata/sf0.001"
+    ids = {}
+    for brand, part in spark.read.parquet(f"{d}/part.parquet").select("p_brand", "p_partkey").collect():
+        ids.setdefault(brand, set()).update((part, part + 1) if brand < "Brand#3" else (part,))
+    near = lambda a, b: any({i - 1, i + 1} & ids[b] for i in ids[a])
+    want = {(a, b): "overlap" if ids[a] & ids[b] else "adjacent" if near(a, b) else "separate" for a in ids for b in ids if a < b}
+    assert {(r.a, r.b): r.state for r in catalog.queries()["iv_overlap_all"](spark, d).collect()} == want
