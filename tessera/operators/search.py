@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from .fixpoint import materialise
 
 
-def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 1000, least_step: bool = True) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, least_step: bool = True) -> DataFrame:
     """(id, step, kind, source): everything reachable from seeds (id) over edges (kind, in1, out).
 
     A seed has step 0 and no source; another id its first step, and of the edges that reach it then the least (kind, in1).
-    Each round joins only the last round's ids and keeps ids not met before.
+    Each round joins only the last round's ids and keeps ids not met before, until none is new; it raises if `rounds`, where
+    given, run out before.
     """
     start = seeds.select(F.col("id").cast("long").alias("id")).distinct()
     front = materialise(start.select("id", F.lit(0).cast("long").alias("step"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("source")))
     found, step = front, 0
-    while step < rounds and not front.isEmpty():
+    while not front.isEmpty():
+        if step == rounds:
+            raise RuntimeError("the search didn't end")
         step += 1
         reached = edges.join(front.select(F.col("id").alias("in1")), "in1").groupBy(F.col("out").alias("id")).agg(F.min(F.struct("kind", "in1")).alias("by"))
         new = reached.join(found.select("id"), "id", "left_anti")
@@ -28,7 +31,7 @@ def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 1000, least_step:
     return found
 
 
-def inverse(targets: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def inverse(targets: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Everything from which a target can be reached."""
     return closure(targets, edges.select("kind", F.col("out").alias("in1"), F.col("in1").alias("out")), rounds)
 
