@@ -13,8 +13,8 @@ from tessera.llm import decontam, mixing, near_copies, quality, queries, simhash
 from tessera.llm.common import stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents of which the classifier holds label 1 less likely than this go. The share of label 1 doesn't sway scores.
-QUALITY = 0.5
+#: Documents of which the classifier holds label 1 less likely than this go: those that op2_quality predicts label 0.
+QUALITY = quality.THRESHOLD
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from .common import OWN, id_fold, slices, utf8
 BUCKET_BITS, DIM, ORDERS = 17, 8, (3, 4)
 #: Labelled documents that a fit uses at most, and bytes of each.
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 8000
+#: Documents scored below this are predicted label 0.
+THRESHOLD = 0.7
 #: Each document also has so many copies of one feature common to all, which steadies the average of short texts.
 COMMON = 40
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -145,7 +147,7 @@ def score(text: Column, model: Model, spark) -> Column:
     return F.arrow_udf(scores, "double")(text)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, folds: int = 4, held: int = 2) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, folds: int = 4, held: int = 2) -> DataFrame:
     """(id, held_out, score, predicted) of every row. A null id is neither learned from nor held out."""
     model = fit(docs, labels, id_col, text_col, label_col, folds, held)
     out = docs.select(F.col(id_col), F.coalesce(id_fold(id_col, folds) == held, F.lit(False)).alias("held_out"), score(F.col(text_col), model, docs.sparkSession).alias("score"))
