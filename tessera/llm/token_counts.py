@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the split pattern that byte-level BPE with use_regex applies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct words that a worker remembers before it starts afresh.
-REMEMBERED = 1 << 20
+#: Distinct words that a worker remembers before it starts afresh, and characters of the longest such word: both bound its memory.
+REMEMBERED, REMEMBERED_LENGTH = 1 << 20, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -65,9 +65,10 @@ class WholeTokens:
         n = self.rest.get(pre_token)
         if n is None:
             n = len(self.library.model.tokenize("".join(map(self.letters.__getitem__, pre_token.encode()))))
-            if len(self.rest) >= REMEMBERED:
-                self.rest.clear()
-            self.rest[pre_token] = n
+            if len(pre_token) <= REMEMBERED_LENGTH:
+                if len(self.rest) >= REMEMBERED:
+                    self.rest.clear()
+                self.rest[pre_token] = n
         return n
 
     def _cut(self, text: str) -> int:
@@ -117,9 +118,11 @@ class _Remembered(dict):
         self.make = make
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = value
         return value
 
 

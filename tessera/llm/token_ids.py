@@ -1,9 +1,9 @@
 """Token ids in binary files: frequency-ranked ids, byte-aligned variable-length coding with separate control bytes.
 
-The texts are encoded once and shuffled into parts in ascending id order, coded by provisional ranks. All ids are then
-counted; the most frequent gets rank 0, and each block is written anew with the final ranks: a rank takes one to four
-little-endian bytes, and two bits of a control stream give their number, four ranks to a control byte. Files hold blocks of
-whole documents and are decoded by numpy with one table lookup for each control byte.
+The texts are range-partitioned by id into parts and encoded once. All ids are then counted; the most frequent gets rank 0,
+and each block is written anew with the ranks: a rank takes one to four little-endian bytes, and two bits of a control
+stream give their number, four ranks to a control byte. Files hold blocks of whole documents and are decoded by numpy with
+one table lookup for each control byte.
 
 A block, little-endian: magic, part, block of the part, documents, control bytes, data bytes (uint32 each, after 8 bytes of
 magic); document ids (int64), null marks (uint8), token counts (uint32), control bytes, data bytes, and one line feed. Each
@@ -26,23 +26,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import token_counts
-from .common import OWN, slices, stage, work_dir
+from .common import slices, stage, work_dir
 
 MAGIC = b"TZIDS\x00\x00\x01"
 #: Encoded bytes of a block, and text bytes of a part (one file).
 BLOCK_BYTES, PART_BYTES = 4 << 20, 24 << 20
-#: Distinct words that a worker remembers; beyond, it forgets those met once since it last did so.
-REMEMBERED = 650_000
+#: Parts at most; larger tables get larger parts, of which only a block at a time is in memory.
+MAX_PARTS = 100_000
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 100_000
+#: Distinct words that a worker remembers; beyond, or beyond four ids or 16 characters a word in all, it forgets those met
+#: once since it last did so and those longer than REMEMBERED_LENGTH.
+REMEMBERED, REMEMBERED_LENGTH = 450_000, 64
 #: Seconds after its last task at which a worker gives its words' memory back; Spark may keep idle workers for long.
 IDLE = 2
 #: Bytes of texts that are encoded at once.
 RUN_BYTES = 1 << 20
-#: Texts that provisional ranks are taken from.
-SAMPLE = 2000
 _LETTERS, _SIGNS = frozenset("abcdefghijklmnopqrstuvwxyz"), ",.;:!?$%*#&"
 #: Stands for the end of a document among its words, none of which has a space.
 END = " "
@@ -65,7 +68,9 @@ class Words:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
-        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or len(t["content"].split()) > 1 for t in spec["added_tokens"])
+        #: Special strings are matched before case is dropped: words that hold one in any case are left as they are.
+        self.special = [t["content"].lower() for t in spec["added_tokens"]]
         if not plain or self._ids(["  a \n b  "])[0] != self._ids(["a b"])[0]:
             raise ValueError(f"{path} keeps white space; its words can't be encoded apart")
         #: Where letters and following signs never share a token and case is dropped, variants of a word are encoded once.
@@ -76,14 +81,11 @@ class Words:
         probe = ["abcé", "zürich", "theÿ", "l"]
         self.letters = token_counts.byte_letters()
         self.apart = self.lower and self._ids(probe) == [self._merge(w) for w in probe]
-        self.end_id, self.ranks, self.number = end_id, None, _Numbers()
-        self._clear()
-
-    def rank_by(self, ranks: _Ranks) -> None:
-        """From now on, encode gives ranks instead of ids."""
-        if self.ranks is None or not np.array_equal(self.ranks.rank, ranks.rank):
-            self.ranks = ranks
-            self._clear()
+        self.end_id, self.number, self.chars = end_id, _Numbers(), 0
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes, self.met = (np.zeros(1 << 12, t) for t in (np.int64, np.int32, np.int32))
+        self.number[END] = 0
+        self._put([0], [[end_id]])
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
@@ -93,23 +95,24 @@ class Words:
             word = "".join(map(self.letters.__getitem__, word.encode()))
         return [t.id for t in self.model.tokenize(word)]
 
-    def _clear(self) -> None:
-        self.number.clear()
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes, self.met = (np.zeros(1 << 12, t) for t in (np.int64, np.int32, np.int32))
-        self.number[END] = 0
-        self._put([0], [[self.end_id]])
+    def _full(self) -> bool:
+        return len(self.number) > REMEMBERED or self.used > 4 * REMEMBERED or self.chars > 16 * REMEMBERED
 
     def _forget(self) -> None:
-        """Keep the words met more than once since the last call, of these the more frequent half of REMEMBERED."""
-        met = self.met[: len(self.number)]
-        keep = np.flatnonzero(met > 1)
+        """Keep the shorter words met more than once since the last call, of these the more frequent half of REMEMBERED;
+        none where these too are full."""
+        words = list(self.number)
+        met = self.met[: len(words)]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        keep = np.flatnonzero((met > 1) & (lengths <= REMEMBERED_LENGTH))
         if len(keep) > REMEMBERED // 2:
             keep = np.sort(keep[np.argpartition(-met[keep], REMEMBERED // 2)[: REMEMBERED // 2]])
+        if self.sizes[keep].sum() > 2 * REMEMBERED or lengths[keep].sum() > 8 * REMEMBERED:
+            keep = keep[:0]
         keep = np.union1d([0], keep)
-        words = list(self.number)
         self.number.clear()
         self.number.update(zip((words[k] for k in keep.tolist()), range(len(keep))))
+        self.chars = int(lengths[keep].sum())
         sizes = self.sizes[keep]
         ends = np.cumsum(sizes, dtype=np.int64)
         self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[keep] - (ends - sizes), sizes)]
@@ -118,13 +121,20 @@ class Words:
     def _words(self, joined: str) -> list[str]:
         """Words of a list parted by line feeds. Beyond Latin-1, case and composed forms are left to the library."""
         if self.lower:
+            low = joined.lower()
+            if any(s in low for s in self.special):
+                return [w if any(s in w.lower() for s in self.special) else self._lowered(w) for w in joined.split("\n")]
             try:
                 joined.isascii() or joined.encode("latin-1")
-                joined = joined.lower()
+                joined = low
             except UnicodeEncodeError:
-                return [w.lower() if w.isascii() or max(w) <= "\xff" else w for w in joined.split("\n")]
+                return [self._lowered(w) for w in joined.split("\n")]
         return joined.split("\n")
 
+    @staticmethod
+    def _lowered(word: str) -> str:
+        return word.lower() if word.isascii() or max(word) <= "\xff" else word
+
     def _learn(self) -> None:
         """Find the ids of the words that got numbers since the last call."""
         number, new = self.number, self.number.new
@@ -155,6 +165,7 @@ class Words:
         at, base, tail = (np.array(x, np.int64) for x in (ends_at, base, tail))
         pairs = np.stack([base, tail], 1).ravel()
         self._add(at, self.sizes[base] + self.sizes[tail], self._flat_of(pairs, self.sizes[pairs]))
+        self.chars += sum(map(len, new))
         new.clear()
 
     def _flat_of(self, code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -165,7 +176,7 @@ class Words:
     def _put(self, at: list[int], ids: list) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        self._add(at, sizes, flat if self.ranks is None else self.ranks.of(flat))
+        self._add(at, sizes, flat)
 
     def _add(self, at, sizes: np.ndarray, flat: np.ndarray) -> None:
         if self.used + len(flat) > len(self.flat):
@@ -176,11 +187,10 @@ class Words:
         self.used += len(flat)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, or ranks, of an array of texts end to end, and each text's number of them; the end id follows each text.
-        Arrow splits the texts and finds the distinct words; only those are looked up."""
+        """All ids of an array of texts end to end, and each text's number of them; the end id follows each text. Arrow splits the texts and finds the distinct words; only those are looked up."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.number) > REMEMBERED:
+        if self._full():
             self._forget()
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         ends = np.asarray(lists.offsets)[1:] - np.asarray(lists.offsets)[0]
@@ -310,116 +320,71 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str
     end id alone; an empty table gives no blocks. Extra columns are left out."""
     spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    size, rows = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.count(F.lit(1))).first()
-    # Parts of about part_bytes by quantiles of the id, found in one narrow scan.
-    parts = min(10_000, max(12, -(-(size or 0) // part_bytes)))
-    cuts = sorted(set(texts.agg(F.percentile_approx("id", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(100_000))).first()[0] or []))
+    size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    parts = min(MAX_PARTS, max(12, -(-size // part_bytes)))
+    # By ranges of id and row, so that rows of one id, or without an id, are dealt over parts too.
+    order = [F.col("id").asc_nulls_first(), F.col("row").asc()]
+    dealt = texts.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "id", "text")
 
-    def sampled(batches):
-        total = np.zeros(0, np.int64)
-        with words_of(tokenizer, end_id) as words:
-            for batch in batches:
-                for run in slices(batch.column(0), RUN_BYTES):
-                    n = np.bincount(words.encode(run)[0], minlength=len(total))
-                    n[: len(total)] += total
-                    total = n
-        yield _counted(total)
+    def encode(batches):
+        held, size, number, part = [], 0, 0, 0
 
-    # Provisional ranks only make the shuffle small: about SAMPLE texts serve, other ids follow in any order.
-    few = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20) * F.lit(rows) < SAMPLE).select("text")
-    first = _ranked(few.mapInArrow(sampled, "id long, n long"))
-    first_of = spark.sparkContext.broadcast(_Ranks(first, end_id))
+        def whole():
+            ids, flat, counts = ([x[k] for x in held] for k in range(3))
+            counts = np.concatenate(counts)
+            control, data, *_ = pack(np.concatenate(flat), counts)
+            value = block(part, number, [i for x in ids for i in x], counts, control.tobytes(), data.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([value], pa.binary())], ["part", "value"])
 
-    def encode(batches):
         with words_of(tokenizer, end_id) as words:
-            words.rank_by(first_of.value)
             for batch in batches:
                 at = 0
                 for run in slices(batch.column("text"), RUN_BYTES):
-                    some = batch.slice(at, len(run))
+                    part = batch.column("part")[0].as_py()
+                    flat, counts = words.encode(run)
+                    held.append((batch.column("id").slice(at, len(run)).to_pylist(), flat, counts))
                     at += len(run)
-                    ranks, counts = words.encode(run)
-                    control, data, c, d = pack(ranks, counts)
-                    control, data, c, d = control.tobytes(), data.tobytes(), c.tolist(), d.tolist()
-                    cut = lambda x, ends: pa.array([x[b:e] for b, e in zip([0, *ends], ends)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([some.column("id"), some.column("row"), pa.array(counts, pa.int64()), cut(control, c), cut(data, d)], ["id", "row", "n", "control", "data"])
-
-    made = texts.mapInArrow(encode, "id long, row long, n long, control binary, data binary").withColumn("part", _part_of(cuts))
-    dealt = made.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "row")
-
-    def join(batches):
-        held, size, number, now = [], 0, 0, None
-
-        def whole():
-            ids, n, control, data = zip(*held)
-            value = block(now, number, list(ids), np.array(n), b"".join(control), b"".join(data))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([value], pa.binary())], ["part", "value"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                for r in zip(*(batch.column(c).slice(at, 500).to_pylist() for c in ("part", "id", "n", "control", "data"))):
-                    if held and (size >= block_bytes or r[0] != now):
+                    size += 2 * len(flat) + 13 * len(counts)
+                    if size >= block_bytes:
                         yield whole()
-                        held, size, number = [], 0, number + 1 if r[0] == now else 0
-                    now = r[0]
-                    held.append(r[1:])
-                    size += len(r[3]) + len(r[4]) + 13
-        if held:
-            yield whole()
+                        held, size, number = [], 0, number + 1
+            if held:
+                yield whole()
 
     # The files of this shuffle aren't needed once its result is written. Small batches leave memory to the words.
     with _conf(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), _conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):
-        coded = stage(dealt.mapInArrow(join, "part int, value binary"), "ids-coded")
+        coded = stage(dealt.mapInArrow(encode, "part int, value binary"), "ids-coded")
 
     def counted(batches):
         give_back()  # all texts are encoded
-        ranks, total = first_of.value, np.zeros(0, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for value in batch.column("value"):
                 for *_, counts, control, data in blocks(value.as_buffer()):
                     n = np.bincount(unpack(control, data, counts), minlength=len(total))
                     n[: len(total)] += total
                     total = n
-        yield _counted(np.bincount(ranks.back(np.arange(len(total))), weights=total).astype(np.int64))
+        yield _counted(total)
 
-    final = _ranked(coded.select("value").mapInArrow(counted, "id long, n long"))
-    spark.createDataFrame(list(enumerate(final)), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
-    final_of = spark.sparkContext.broadcast(_Ranks(final, end_id))
+    by_rank = _ranked(coded.select("value").mapInArrow(counted, "id long, n long"))
+    spark.createDataFrame(list(enumerate(by_rank)), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
+    rank_of = np.zeros(max(by_rank, default=0) + 1, np.uint32)
+    rank_of[by_rank] = np.arange(len(by_rank))
+    shared = spark.sparkContext.broadcast(rank_of)
 
     def recode(batches):
         give_back()
-        first, final = first_of.value, final_of.value
-        final_rank = final.of(first.back(np.arange(max(first.top, final.top) + 1)))
+        ranks = shared.value
         for batch in batches:
             for value in batch.column("value"):
                 for part, number, ids, counts, control, data in blocks(value.as_buffer()):
-                    control, data, *_ = pack(final_rank[unpack(control, data, counts)], counts)
+                    control, data, *_ = pack(ranks[unpack(control, data, counts)], counts)
                     out = block(part, number, ids, counts, control.tobytes(), data.tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out], pa.binary())], ["part", "value"])
 
     # The text sink writes each value's bytes as they are and a line feed, to any file system that Spark can write.
     written = coded.mapInArrow(recode, "part int, value binary").select(F.format_string("%06d", "part").alias("part"), F.col("value").cast("string").alias("value"))
-    written.write.partitionBy("part").option("lineSep", "\n").text(f"{path}/ids")
-
-
-class _Ranks:
-    """Ids to ranks and back; ids that no list has follow by number."""
-
-    def __init__(self, listed: list[int], end_id: int):
-        self.ids = np.array(listed, np.int64)
-        self.top = max([end_id, *listed])
-        rest = np.setdiff1d(np.arange(self.top + 1), self.ids)
-        self.ids = np.concatenate([self.ids, rest]).astype(np.uint32)
-        self.rank = np.zeros(self.top + 1, np.uint32)
-        self.rank[self.ids] = np.arange(self.top + 1)
-
-    def of(self, ids: np.ndarray) -> np.ndarray:
-        ids = ids.astype(np.int64)
-        return np.where(ids <= self.top, self.rank[np.minimum(ids, self.top)], ids).astype(np.uint32)
-
-    def back(self, ranks: np.ndarray) -> np.ndarray:
-        ranks = ranks.astype(np.int64)
-        return np.where(ranks <= self.top, self.ids[np.minimum(ranks, self.top)], ranks).astype(np.uint32)
+    written.write.partitionBy("part").option("lineSep", "\n").option("maxRecordsPerFile", 16).text(f"{path}/ids")
 
 
 @contextlib.contextmanager
@@ -432,18 +397,6 @@ def _conf(spark, key: str, value: str):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def _part_of(cuts: list[int]):
-    """Number of cuts below the id; null: 0. Binary search as nested conditions."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("id") > cuts[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return F.when(F.col("id").isNull(), F.lit(0)).otherwise(tree(0, len(cuts))).cast("int")
-
-
 def read_ids(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files under path: start counts the ids of all documents before."""
     by_rank = np.array([r[1] for r in sorted(map(tuple, spark.read.parquet(f"{path}/ranks").collect()))], "<u4")
@@ -465,14 +418,19 @@ def read_ids(spark, path: str) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/ids")
     docs = stage(files.select("content").mapInArrow(decode, schema), "ids-read")
-    # A row for each block, about BLOCK_BYTES of ids: the ids before it, by part and block.
-    sums = docs.groupBy("part", "block").agg(F.sum("n_tokens").alias("n")).collect()
+    # A row for each block, about BLOCK_BYTES of ids; those before it in its part are summed in Spark, and only the parts'
+    # sums, MAX_PARTS rows at most, come to the driver.
+    sums = stage(docs.groupBy("part", "block").agg(F.sum("n_tokens").alias("n")), "ids-blocks")
     begin, starts = 0, []
-    for p, b, n in sorted(map(tuple, sums)):
-        starts.append((p, b, begin))
+    for p, n in sorted(map(tuple, sums.groupBy("part").agg(F.sum("n")).collect())):
+        starts.append((p, begin))
         begin += n
-    starts = spark.createDataFrame(starts, "part long, block long, begin long")
-    return docs.join(F.broadcast(starts), ["part", "block"]).select("doc_id", (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    starts = F.broadcast(spark.createDataFrame(starts, "part long, base long"))
+    before = F.sum("n").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.join(starts, "part").select("part", "block", (F.col("base") + F.coalesce(before, F.lit(0))).alias("begin"))
+    if sums.count() <= BROADCAST_ROWS:
+        starts = F.broadcast(starts)
+    return docs.join(starts, ["part", "block"]).select("doc_id", (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _exists(spark, path: str) -> bool:
