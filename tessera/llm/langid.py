@@ -3,7 +3,8 @@
 For each language a suffix automaton of a bounded sample of labelled text gives longest-match lengths. A text is parsed
 from left to right into the longest phrases that occur in a language's sample; the language that needs the fewest
 phrases, normalised by the logarithm of its sample's length, wins. The automaton with its restarts is one table
-(state, symbol) -> (state, phrase ends), and numpy steps many texts through it at once.
+(state, symbol) -> (state, phrase begins), and numpy steps many stretches of texts through it at once: each as if a phrase
+began there, then once more from the state that the stretch before it ends in, up to where both parses meet.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold, slices, utf8
+from .common import OWN, id_fold, slices, utf8
 
-#: Bytes of labelled text for each language, and of one document at most.
-SAMPLE_BYTES, DOC_BYTES, SAMPLE_DOCS = 24_000, 800, 200
-#: Labels of which the counts are broadcast at most.
-MOST_LABELS = 100_000
-#: A text is parsed in stretches of so many bytes, each from a phrase's start, so that long texts don't hold up others.
-STRETCH = 512
+#: Bytes of labelled text for each language, characters of a window of one document, and documents at most.
+SAMPLE_BYTES, WINDOW, SAMPLE_DOCS = 24_000, 800, 200
+#: Languages at most; each has an automaton, which workers hold.
+MOST_LABELS = 500
+#: Bytes of a stretch that is parsed beside others; longer texts than LONG are parsed byte by byte.
+STRETCH, LONG = 512, 4 << 20
+#: Times that stretches are parsed again side by side before the few that never meet are parsed one by one.
+AGAIN = 4
 #: Symbols: 1 for each kind of byte; see fold().
 SPACE = 32
 
@@ -73,7 +76,7 @@ class Model:
     """Parse tables of all languages over one symbol map; picklable and bounded by SAMPLE_BYTES a language."""
 
     def __init__(self, samples: dict[str, bytes]):
-        self.langs = sorted(samples)
+        self.samples, self.langs = samples, sorted(samples)
         folded = {k: FOLD[np.frombuffer(samples[k], np.uint8)].tobytes() for k in self.langs}
         symbols = sorted(set().union(*folded.values()))
         self.width = len(symbols) + 1  # the last symbol: bytes of no sample
@@ -94,26 +97,22 @@ class Model:
             self.log.append(float(np.log2(max(2, len(folded[k])))))
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Phrases of each text for each language (texts x languages)."""
-        sizes = np.diff(offsets)
-        pieces = -(-sizes // STRETCH)
-        owner = np.repeat(np.arange(len(sizes)), pieces)
-        first = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = offsets[owner] + first * STRETCH
-        length = np.minimum(STRETCH, offsets[owner + 1] - start)
-        order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
-        steps = np.arange(length[0] if len(length) else 0)
-        active = np.searchsorted(-length, -steps, "left")  # stretches longer than each step
-        codes = self.symbol[data]
+        """Phrases of each whole text for each language (texts x languages)."""
+        sizes, codes = np.diff(offsets), self.symbol[data]
         out = np.zeros((len(sizes), len(self.langs)))
+        short = np.where(sizes <= LONG, sizes, 0)
+        pieces = -(-short // STRETCH)
+        owner = np.repeat(np.arange(len(sizes)), pieces)
+        start = offsets[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
+        end = np.minimum(start + STRETCH, offsets[owner + 1])
+        whole = np.flatnonzero(sizes > 0)
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
-            for step, n in zip(steps.tolist(), active.tolist()):
-                to = table[state[:n] + codes[start[:n] + step]]
-                count[:n] += to & 1
-                state[:n] = to >> 1
-            np.add.at(out[:, k], owner, count)
+            steps = np.zeros(len(data), np.int32)  # what the table gives at each byte
+            _side_by_side(table, codes, steps, start, end, owner)
+            for i in np.flatnonzero(sizes > LONG).tolist():
+                _one_by_one(table, codes, steps, int(offsets[i]), int(offsets[i + 1]), 0, False)
+            if len(whole):
+                out[whole, k] = np.add.reduceat(steps & 1, offsets[whole], dtype=np.int64)
         return out
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,23 +127,81 @@ class Model:
         return best, np.where(two.sum(1) > 0, two[:, 1] / np.maximum(two.sum(1), 1e-9), 0.5)
 
 
+def _side_by_side(table: np.ndarray, codes: np.ndarray, steps: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> None:
+    """Fill steps for texts in stretches, in order; owner has the text of each."""
+    first = np.ones(len(start), bool)
+    first[1:] = owner[1:] != owner[:-1]
+    order = np.argsort(start - end, kind="stable")
+    length = (end - start)[order]
+    state = np.zeros(len(order), np.int32)
+    for step in range(length[0] if len(length) else 0):
+        n = np.searchsorted(-length, -step, "left")  # stretches longer than this
+        at = start[order[:n]] + step
+        to = table[state[:n] + codes[at]]
+        steps[at] = to
+        state[:n] = to >> 1
+    todo = np.flatnonzero(~first)
+    for _ in range(AGAIN):
+        at, stop, state, k = start[todo], end[todo], steps[start[todo] - 1] >> 1, todo
+        open_ends = []
+        while len(at):
+            to = table[state + codes[at]]
+            apart = (to >> 1) != (steps[at] >> 1)
+            steps[at] = to
+            ended = apart & (at + 1 == stop)
+            open_ends.append(k[ended])
+            go = apart & ~ended
+            at, stop, state, k = at[go] + 1, stop[go], to[go] >> 1, k[go]
+        # The end of these stretches is another one now, which the next stretch of the same text must go on from.
+        todo = np.sort(np.concatenate([np.zeros(0, np.int64), *open_ends])) + 1
+        todo = todo[todo < len(start)]
+        todo = todo[~first[todo]]
+        if not len(todo):
+            return
+    text = np.cumsum(first) - 1
+    last = np.append(np.flatnonzero(first)[1:], len(start)) - 1
+    done = -1
+    for j in todo.tolist():
+        if start[j] >= done:
+            done = _one_by_one(table, codes, steps, int(start[j]), int(end[last[text[j]]]), int(steps[start[j] - 1] >> 1), True)
+
+
+def _one_by_one(table: np.ndarray, codes: np.ndarray, steps: np.ndarray, at: int, stop: int, state: int, meet: bool) -> int:
+    """Fill steps from a state on, to the end or, where asked, to where they meet what stands there; returns that place."""
+    table, codes, steps = memoryview(table), memoryview(codes), memoryview(steps)
+    for i in range(at, stop):
+        to = table[state + codes[i]]
+        if meet and to >> 1 == steps[i] >> 1:
+            steps[i] = to
+            return i + 1
+        steps[i] = to
+        state = to >> 1
+    return stop
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 5) -> Model:
-    """A model from labelled rows: for each language about SAMPLE_DOCS seeded rows, of each at most DOC_BYTES, in all
-    SAMPLE_BYTES. Only this sample is bounded; counts of rows by language cover all rows. Null labels and texts are left out."""
+    """A model from labelled rows: for each language about SAMPLE_DOCS distinct ones, chosen by a seeded hash, of each a
+    seeded window of WINDOW characters from anywhere in the text, in all about SAMPLE_BYTES. Only this sample is bounded;
+    the distinct rows of each language are counted over all rows. Null labels, and texts that are null or have no letter,
+    are left out; more than MOST_LABELS languages are an error."""
+    h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    begin = F.pmod(F.xxhash64(F.lit(seed), h), F.greatest(F.lit(1), F.length(text_col) - WINDOW + 1)).cast("int") + 1
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h")
+        F.col(lang_col).alias("lang"), h.alias("h"), F.substring(F.col(text_col), begin, F.lit(WINDOW)).alias("text")
     )
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    # A row for each language, and one more at most: a bounded number, which is checked.
+    counts = {r[0]: r[1] for r in counts.limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages")
+    counts = F.broadcast(labelled.sparkSession.createDataFrame(sorted(counts.items()), "lang string, n long"))
     part = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n") < SAMPLE_DOCS
-    # A row for each label: sent to all tasks where it is small, which is checked, so that no text is shuffled by label.
-    if counts.count() <= MOST_LABELS:
-        counts = F.broadcast(counts)
-    some = rows.join(counts, "lang").where(part).select("lang", "h", F.substring("text", 1, DOC_BYTES).alias("text"))
+    some = rows.join(counts, "lang").where(part).groupBy("lang", "h").agg(F.min("text").alias("text"))
     samples: dict[str, bytearray] = {}
     for r in sorted(some.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         text = samples.setdefault(r["lang"], bytearray())
         if len(text) < SAMPLE_BYTES:
-            text += r["text"].encode()[:DOC_BYTES] + b" "
+            text += r["text"].encode("utf-8", "surrogatepass") + b" "
     return Model({k: bytes(v) for k, v in samples.items()})
 
 
@@ -157,7 +214,7 @@ def predict(text: Column, model, spark) -> Column:
         model = shared.value
         for texts in batches:
             langs, scores = [], []
-            for part in slices(texts, 1 << 20):
+            for part in slices(texts, LONG):
                 best, score = model.predict(part)
                 langs += [model.langs[k] for k in best]
                 scores.append(score)
@@ -176,5 +233,5 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     is in no fold and is neither learned from nor held out. An empty table gives no rows."""
     held = id_fold(id_col, folds) == 0
     model = fit(df.where(~held), id_col, text_col, lang_col)
-    done = df.select(F.col(id_col), F.coalesce(held, F.lit(False)).alias("held_out"), predict(F.col(text_col), model, df.sparkSession).alias("_tz_p"))
-    return done.select(id_col, "held_out", "_tz_p.lang_pred", "_tz_p.score")
+    done = df.select(F.col(id_col), F.coalesce(held, F.lit(False)).alias("held_out"), predict(F.col(text_col), model, df.sparkSession).alias(f"{OWN}p"))
+    return done.select(id_col, "held_out", f"{OWN}p.lang_pred", f"{OWN}p.score")
