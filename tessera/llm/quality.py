@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from .common import OWN, id_fold, slices, utf8
 
 BUCKET_BITS, DIM, ORDERS = 17, 8, (3, 4)
-#: Labelled documents that a fit uses at most, and bytes of each.
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 8000
+#: Labelled documents that a fit uses at most, and characters of the window that it takes of each.
+SAMPLE_DOCS, WINDOW = 4000, 8000
 #: Documents scored below this are predicted label 0.
 THRESHOLD = 0.7
 #: Each document also has so many copies of one feature common to all, which steadies the average of short texts.
-COMMON = 40
+COMMON = 100
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 
@@ -121,17 +121,23 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 1.
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2, seed: int = 11) -> Model:
-    """Fit on a seeded sample of at most about SAMPLE_DOCS labelled rows outside the held-out fold, SAMPLE_BYTES of each.
+    """Fit on a seeded sample of about SAMPLE_DOCS labelled ids outside the held-out fold, of each text a seeded window of
+    WINDOW characters from anywhere in it.
 
-    Null labels, and ids that are null or held out, are left out; without any label all scores are 0.5.
+    Null labels, and ids that are null or held out, are left out; an id with several labels has the one that most of them
+    give (1 where they tie), an id with several texts the first by text. Without any label all scores are 0.5.
     """
-    known = labels.where(F.col(label_col).isNotNull() & (id_fold(id_col, folds) != held)).select(F.col(id_col).alias(f"{OWN}id"), F.col(label_col).cast("int").alias("y"))
+    key, y, t = (f"{OWN}{c}" for c in ("id", "y", "t"))
+    known = labels.where(F.col(label_col).isNotNull() & (id_fold(id_col, folds) != held)).groupBy(F.col(id_col).alias(key)).agg((F.avg(F.col(label_col)) >= 0.5).cast("int").alias(y))
     n = known.count()
-    few = known.where(F.pmod(F.xxhash64(F.lit(seed), f"{OWN}id"), F.lit(1 << 30)) / float(1 << 30) * n < SAMPLE_DOCS)
-    # About SAMPLE_DOCS rows of a label: a bounded side.
-    rows = docs.join(F.broadcast(few), F.col(id_col) == F.col(f"{OWN}id")).select("y", F.col(f"{OWN}id").alias("k"), F.substring(F.coalesce(text_col, F.lit("")), 1, SAMPLE_BYTES).alias("t"))
-    rows = sorted(map(tuple, rows.collect()), key=lambda r: (r[1], r[2], r[0]))
-    return train([r[2] for r in rows], [min(1, max(0, r[0])) for r in rows])
+    few = known.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30) * n < SAMPLE_DOCS)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    begin = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), text), F.greatest(F.lit(1), F.length(text) - WINDOW + 1)).cast("int") + 1
+    # About SAMPLE_DOCS rows of a label: a bounded side; and one row of each id comes back.
+    rows = docs.select(F.col(id_col).alias(f"{OWN}doc"), F.substring(text, begin, F.lit(WINDOW)).alias(t)).join(F.broadcast(few), F.col(f"{OWN}doc") == F.col(key))
+    rows = rows.groupBy(key, y).agg(F.min(t).alias(t)).collect()
+    rows = sorted((r[key], r[t], r[y]) for r in rows)
+    return train([r[1] for r in rows], [r[2] for r in rows])
 
 
 def score(text: Column, model: Model, spark) -> Column:
