@@ -1,18 +1,19 @@
 """Benchmark decontamination by greedy string tiling.
 
 Runs of SEED tokens that a document shares with a benchmark item are the seeds of a pair. Only pairs whose seeds could
-cover enough of the item are tiled: the longest common run of unmarked tokens, found from Karp-Rabin hashes, is marked in
-both, again and again, until none of SEED tokens is left. The marked part of the item is its coverage, whatever the order
-of the passages in the document.
+cover enough of the item are tiled: the longest common run of unmarked tokens, found from running Karp-Rabin hashes and
+compared token by token, is marked in both, again and again, until none of SEED tokens is left. The marked part of the item
+is its coverage, whatever the order of the passages in the document. Memory follows the tokens of document and item, never
+the pairs of places at which they agree.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +30,16 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 FOLD = bytes(c if c > 127 or chr(c).isalnum() and not 65 <= c <= 90 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
+#: Beyond ASCII: signs, which part words, and letters of scripts without spaces, which are words each.
+_APART = regex.compile(r"[[^\x00-\x7f]--[\p{L}\p{N}\p{M}]]|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*", regex.V1)
+
+
 def tokens(text: str | None) -> list[bytes]:
-    """Lower-case words of letters, digits and non-ASCII characters."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(FOLD).split()
+    """Lower-case words of letters, marks and digits; letters of scripts that put no spaces between words are words each."""
+    low = (text or "").lower()
+    if not low.isascii() and _APART.search(low):
+        low = _APART.sub(lambda m: f" {m[0]} " if m[0][0].isalpha() else " ", low)
+    return low.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
 def seeds(ids: np.ndarray, length: int) -> np.ndarray:
@@ -43,30 +51,69 @@ def seeds(ids: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
-def tile(item: np.ndarray, doc: np.ndarray, hits: np.ndarray, length: int) -> int:
-    """Tokens of `item` that greedy string tiling marks. hits: (item position, document position) of equal seeds."""
-    diagonal = hits[:, 0] - hits[:, 1]
-    hits = hits[np.lexsort((hits[:, 0], diagonal))]
-    breaks = np.flatnonzero((np.diff(hits[:, 0]) != 1) | (np.diff(hits[:, 0] - hits[:, 1]) != 0)) + 1
-    bounds = [0, *breaks.tolist(), len(hits)]
-    # Maximal common runs, longest first, then by place in the item and in the document.
-    heap = [(-(e - b - 1 + length), int(hits[b, 0]), int(hits[b, 1])) for b, e in zip(bounds, bounds[1:]) if e > b]
-    heapq.heapify(heap)
-    in_item, in_doc, left = np.zeros(len(item), bool), np.zeros(len(doc), bool), len(item)
-    while heap and left >= length:
-        n, i, d = heapq.heappop(heap)
-        n = -n
-        taken = in_item[i : i + n] | in_doc[d : d + n]
-        if not taken.any():
-            in_item[i : i + n] = in_doc[d : d + n] = True
-            left -= n
-            continue
-        # What earlier tiles left of this run is shorter and waits for its turn.
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True])).astype(np.int8)))
-        for b, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            if e - b >= length:
-                heapq.heappush(heap, (b - e, i + b, d + b))
-    return int(in_item.sum())
+def _running(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of id * base^place, and the powers of the base: the hash of a run is a difference, brought to place 0."""
+    power = np.full(len(ids) + 1, _BASE, np.uint64)
+    power[0] = 1
+    np.cumprod(power, out=power)
+    sums = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum((ids + 2).astype(np.uint64) * power[:-1], out=sums[1:])
+    return sums, power
+
+
+def tile(item: np.ndarray, doc: np.ndarray, length: int) -> int:
+    """Tokens of `item` that greedy string tiling with `doc` marks in tiles of at least `length`. Ids below 0 match nothing.
+
+    Always the longest common run of unmarked tokens is next, of these the first in the item, then the first in the document.
+    The length is found by halving, as parts of common runs are common; runs of one length are then marked in order.
+    """
+    (item_sums, power), (doc_sums, doc_power) = _running(item), _running(doc)
+    top = len(power) + len(doc_power)
+    scale = np.full(top, _BASE, np.uint64)  # brings the hash at a place to that at the place `top`
+    scale[0] = 1
+    np.cumprod(scale, out=scale)
+    in_item, in_doc = item < 0, doc < 0
+
+    def runs(sums: np.ndarray, marked: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the unmarked runs of n tokens."""
+        taken = np.concatenate(([0], np.cumsum(marked)))
+        at = np.flatnonzero(taken[n:] == taken[:-n])
+        return at, (sums[at + n] - sums[at]) * scale[top - 1 - at]
+
+    def common(n: int) -> bool:
+        return len(np.intersect1d(runs(item_sums, in_item, n)[1], runs(doc_sums, in_doc, n)[1])) > 0
+
+    done, most = 0, min(len(item), len(doc))
+    while most >= length and common(length):
+        low, high = length, most + 1  # runs of `low` are common, runs of `high` are not
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if common(mid) else (low, mid)
+        n = low
+        (at, h), (places, hashes) = runs(item_sums, in_item, n), runs(doc_sums, in_doc, n)
+        places = places[np.isin(hashes, h)]
+        hashes = (doc_sums[places + n] - doc_sums[places]) * scale[top - 1 - places]
+        order = np.argsort(hashes, kind="stable")  # places of one hash stay in order
+        places, (values, begin) = places[order], np.unique(hashes[order], return_index=True)
+        end, k = np.append(begin[1:], len(order)).tolist(), begin.tolist()
+        slot = np.minimum(np.searchsorted(values, h), len(values) - 1)
+        met = values[slot] == h
+        free = 0
+        for i, s in zip(at[met].tolist(), slot[met].tolist()):
+            if i < free:
+                continue
+            for q in range(k[s], end[s]):
+                d = int(places[q])
+                if in_doc[d] or in_doc[d + n - 1]:  # tiles of this length can only reach in from an end
+                    if q == k[s]:
+                        k[s] += 1  # no run that begins here will be free again
+                    continue
+                if (item[i : i + n] == doc[d : d + n]).all():
+                    in_item[i : i + n] = in_doc[d : d + n] = True
+                    done, free = done + n, i + n
+                    break
+        most = n - 1
+    return done
 
 
 class Index:
@@ -138,17 +185,21 @@ class Index:
         gap[1:] = np.where(np.diff(items) == 0, np.minimum(n, np.diff(places)), n)
         which, first = np.unique(items, return_index=True)
         most = np.add.reduceat(gap, first)
-        for k, bound in zip(which.tolist(), most.tolist()):
+        slots = np.repeat(seen, begin[seen + 1] - begin[seen])[order]
+        ends = np.append(first[1:], len(items))
+        for k, bound, b, e in zip(which.tolist(), most.tolist(), first.tolist(), ends.tolist()):
             ids = self.ids[k]
             if bound < self.coverage * len(ids) - 1e-9:
                 continue  # all its seeds together can't cover enough
-            mine = [(p, d) for s, d in zip(slot.tolist(), at.tolist()) for p in place[begin[s] : begin[s + 1]][item[begin[s] : begin[s + 1]] == k].tolist()]
-            hits = np.array(mine, np.int64)
-            same = np.ones(len(hits), bool)
-            for j in range(n):  # Karp-Rabin hits are compared token by token
-                same &= ids[hits[:, 0] + j] == doc[hits[:, 1] + j]
-            if same.any():
-                found[k] = tile(ids, doc, hits[same], n)
+            mine = at[np.isin(slot, slots[b:e])]
+            # The document without what no seed of the item reaches: runs of tokens, parted by an id that matches nothing.
+            reached = np.zeros(len(doc) + 1, np.int64)
+            np.add.at(reached, mine, 1)
+            np.add.at(reached, mine + n, -1)
+            reached = np.cumsum(reached[:-1]) > 0
+            kept = reached.copy()
+            kept[1:] |= reached[:-1]  # and one token after each run, to part it from the next
+            found[k] = tile(ids, np.where(reached, doc, -1)[kept], n)
 
 
 def _match_column(text: Column, index: Index, spark, kind: str) -> Column:
