@@ -1,8 +1,10 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass 1 sets two Bloom bits for each row's hash and keeps the bits that were set at least twice, as 4 KB bitmaps
-(bitmap_construct_agg). Pass 2 tests each row against them: a row of which both bits were set twice may have a copy and
-is shuffled for an exact comparison of SHA-256 digests; every other row is unique and passes straight through.
+Pass 1 sets two Bloom bits for each row's hash, both in one 4 KB bitmap that the hash names, and keeps the bits that were
+set at least twice (bitmap_construct_agg). Pass 2 tests each row against its bitmap: a row of which both bits were set twice
+may have a copy and is shuffled for an exact comparison of SHA-256 digests; every other row is unique and passes straight
+through. Bitmaps are sent to all tasks where they are few, which is checked; a larger filter keeps its bits for each row and
+is met by a join on the bitmap's number, for which digests and what is carried are shuffled once.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from .common import OWN, stage
 
 #: Bits of one bitmap of bitmap_construct_agg.
 MAP_BITS = 32768
+#: Bitmaps that are broadcast at most (64 MB).
+MAX_MAPS = 16384
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -22,37 +26,31 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
 
-def _bits(digest: Column, maps: int) -> list[Column]:
-    """The Bloom bits of a row: two hashes of its digest, over `maps` bitmaps."""
+def _bits(digest: Column, maps: int) -> tuple[Column, list[Column]]:
+    """The number of the row's bitmap, and its two places there."""
     first = F.xxhash64(digest)
-    return [F.pmod(first, F.lit(maps * MAP_BITS)), F.pmod(F.xxhash64(first, F.lit(1)), F.lit(maps * MAP_BITS))]
+    second = F.xxhash64(first, F.lit(1))
+    return F.pmod(first, F.lit(maps)), [F.pmod(x, F.lit(MAP_BITS)) for x in (second, F.shiftrightunsigned(second, 32))]
 
 
-def repeated_bits(digests: DataFrame, rows: int, bits_per_row: int = 16, max_maps: int = 16384) -> tuple[DataFrame, int]:
-    """Pass 1: (map, bits) of the Bloom bits that two rows or more set, and the number of bitmaps.
-
-    The filter has bits_per_row bits a row but at most max_maps bitmaps (64 MB), which bounds what pass 2 broadcasts;
-    beyond that bound more unique rows look repeated and are shuffled too, and results stay the same.
-    """
-    maps = max(1, min(max_maps, -(-rows * bits_per_row // MAP_BITS)))
-    one, two = _bits(F.col(f"{OWN}sha"), maps)
+def repeated_bits(digests: DataFrame, rows: int, bits_per_row: int = 16) -> tuple[DataFrame, int]:
+    """Pass 1: (map, bits) of the Bloom bits that two rows or more set, and the number of bitmaps: bits_per_row bits a row."""
+    maps = max(1, -(-rows * bits_per_row // MAP_BITS))
+    of, places = _bits(F.col(f"{OWN}sha"), maps)
     # A row whose two bits fall together sets that bit once.
-    bits = digests.select(F.explode(F.array_distinct(F.array(one, two))).alias("bit"))
-    twice = bits.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.groupBy(F.expr(f"bit div {MAP_BITS}").alias("map")).agg(
-        F.bitmap_construct_agg(F.col("bit") % MAP_BITS).alias("bits")
-    ), maps
+    bits = digests.select(of.alias("map"), F.explode(F.array_distinct(F.array(*places))).alias("place"))
+    twice = bits.groupBy("map", "place").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stage(twice.groupBy("map").agg(F.bitmap_construct_agg("place").alias("bits")), "exact-bits"), maps
 
 
-def _is_set(bits: Column, bit: Column) -> Column:
-    """Bit number bit % MAP_BITS of a bitmap; a missing bitmap has none."""
-    at = bit % MAP_BITS
+def _is_set(bits: Column, at: Column) -> Column:
+    """A bit of a bitmap; a missing bitmap has none."""
     byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
 def exact_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, bits_per_row: int = 16, max_maps: int = 16384
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, bits_per_row: int = 16, max_maps: int = MAX_MAPS
 ) -> DataFrame:
     """Every row with its group of equal texts.
 
@@ -74,16 +72,13 @@ def exact_dedup(
         ),
         "exact-digests",
     )
-    twice, maps = repeated_bits(rows, rows.count(), bits_per_row, max_maps)
-    tested = rows
-    for k, bit in enumerate(_bits(sha, maps)):
-        seen = twice.select(F.col("map").alias(f"{OWN}map"), F.col("bits").alias(f"{OWN}bits"))
-        # At most max_maps bitmaps of 4 KB: a bounded broadcast.
-        tested = (
-            tested.join(F.broadcast(seen), F.expr(f"{OWN}map") == F.floor(bit / MAP_BITS), "left")
-            .withColumn(f"{OWN}set{k}", _is_set(F.col(f"{OWN}bits"), bit))
-            .drop(f"{OWN}map", f"{OWN}bits")
-        )
+    twice, maps = repeated_bits(rows, rows.count(), bits_per_row)
+    twice = twice.select(F.col("map").alias(f"{OWN}map"), F.col("bits").alias(f"{OWN}bits"))
+    of, places = _bits(sha, maps)
+    tested = rows.join(F.broadcast(twice) if maps <= max_maps else twice, F.col(f"{OWN}map") == of, "left")
+    for k, place in enumerate(places):
+        tested = tested.withColumn(f"{OWN}set{k}", _is_set(F.col(f"{OWN}bits"), place))
+    tested = tested.drop(f"{OWN}map", f"{OWN}bits")
     maybe = F.col(f"{OWN}set0") & F.col(f"{OWN}set1")
     own = [F.col(f"`{c}`") for c in carry]
     straight = tested.where(~maybe).select(
@@ -94,6 +89,8 @@ def exact_dedup(
     heads = repeated.groupBy(sha.alias(f"{OWN}of")).agg(
         F.min(F.struct(F.col(f"{OWN}id").alias("id"), row.alias("row"))).alias(f"{OWN}head"), F.count(F.lit(1)).alias("group_size")
     )
+    # One row a group, written: the join below then shuffles both sides anew, so that large groups can be split.
+    heads = stage(heads, "exact-heads")
     compared = repeated.join(heads, sha == F.col(f"{OWN}of")).select(
         F.col(f"{OWN}id").alias(id_col), F.col(f"{OWN}head.id").alias("keep_id"), "group_size",
         (row == F.col(f"{OWN}head.row")).alias("kept"), sha.alias("text_sha256"), *own,
