@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import OWN, stage
 
-GROUPS = 7
+#: Groups of segments by the most points that they serve: with more groups, cells are smaller and a point is in more of them.
+GROUPS = {100_000_000: 7, 3_000_000_000: 8, 1 << 62: 10}
 #: Points of a cell that one task compares at once; larger cells are dealt into blocks, and pairs of blocks compared.
 CELL_ROWS = 20_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -43,7 +44,7 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit set. Counts of up to 255 rows are added eight bits at a time."""
+    """How many of the hashes have each bit set."""
     lanes, out = h.view(np.uint8).reshape(-1, 8), np.zeros((8, 8), np.int64)
     for bit in range(8):
         out[:, bit] = ((lanes >> np.uint8(bit)) & np.uint8(1)).sum(0)
@@ -65,7 +66,7 @@ def segment_counts(fp: np.ndarray) -> np.ndarray:
     return (fp & _LOW) + ((fp >> np.uint64(1)) & _LOW)
 
 
-def group_masks(groups: int = GROUPS) -> list[int]:
+def group_masks(groups: int) -> list[int]:
     """The 32 segments in `groups` runs of nearly equal length, as bit masks."""
     cuts = [round(32 * g / groups) for g in range(groups + 1)]
     return [sum(3 << 2 * s for s in range(a, b)) for a, b in zip(cuts, cuts[1:])]
@@ -159,8 +160,12 @@ def _pairs(most: int):
     return run
 
 
-def links(points: DataFrame, most: int = 4, groups: int = GROUPS) -> DataFrame:
-    """Distinct (a, b) among the distinct fingerprints `fp` that connect whatever links within `most` bits connect."""
+def links(points: DataFrame, most: int = 4, groups: int | None = None) -> DataFrame:
+    """Distinct (a, b) among the distinct fingerprints `fp` that connect whatever links within `most` bits connect. The number
+    of groups follows the number of points where it isn't given; results are the same for any above `most`."""
+    if groups is None:
+        n = points.count()
+        groups = next(g for top, g in GROUPS.items() if n <= top) + most - 4
     cells = stage(_cells(points, most, groups), "simhash-cells")
     sizes = cells.groupBy(F.col("cell").alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS)
     # Only large cells are met by a join; their blocks are compared in pairs: (i, i) within, (i, j) across.
@@ -184,10 +189,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.min("a")).alias("m"))
+        # One row a node, written: the joins then shuffle both sides anew, so that a hub's edges can be split.
+        least = stage(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.min("a")).alias("m")), "cc-least")
         # Large-star: neighbours above a node go to the least of its neighbourhood; an edge is met at its lower end.
         large = edges.join(least, edges["b"] == least["n"]).select("a", F.col("m").alias("b"))
-        down = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        down = stage(large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "cc-down")
         # Small-star: a node's lower neighbours and the node itself go to the least of them.
         small = large.join(down, large["a"] == down["n"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = small.unionByName(down.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
@@ -202,7 +208,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, groups: int = GROUPS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, groups: int | None = None) -> DataFrame:
     """(id, fingerprint in hex, component_id) of every row; component_id is the least non-null id of the rows that links
     reach, the row itself included (null where all are null). Null and empty texts have fingerprint zero and link like any
     other. An empty table gives no rows."""
@@ -214,6 +220,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     linked = rooted.join(heads, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     alone = points.join(rooted, "fp", "left_anti").select(F.col("fp").alias("f"), F.col("least").alias("component_id"))
-    ids = linked.unionByName(alone)
+    ids = stage(linked.unionByName(alone), "simhash-ids")
     out = rows.join(ids, F.col("fp") == F.col("f"))
     return out.select(F.col(f"{OWN}id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
