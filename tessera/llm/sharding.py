@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import OWN, crc32, stage
 
-#: Bounds the table of bucket offsets that pass 2 broadcasts (16 MB); larger inputs get larger buckets.
-MAX_BUCKETS = 1 << 20
+#: Bytes of a bucket, which a worker holds twice.
+BUCKET_BYTES = 128 << 20
+#: Bounds the reducers of the one shuffle and the table of bucket offsets that pass 2 broadcasts; larger inputs get larger
+#: buckets (100 TB: 400 MB).
+MAX_BUCKETS = 1 << 18
 #: Several buckets for each core of a small cluster.
 MIN_BUCKETS = 64
 
@@ -44,12 +47,13 @@ def _fisher_yates(seed: int):
     return shuffle
 
 
-def shard_rows(df: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_rows(df: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of df with `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard), from the written buckets.
 
     The result reads the bucket files in the shared folder; write it with partitionBy("shard") for one folder a shard.
     The hash covers the id, the text and the row's number in the scan, so that neither null or repeated ids nor copies
-    crowd one bucket; runs over the same files agree. Columns of df named shard or slot are replaced. A null text is
+    crowd one bucket. Reruns over the same splits of the input agree; other splits give another, equally uniform order.
+    Columns of df named shard or slot are replaced. A null text is
     empty; an empty table gives no rows.
     """
     df = df.drop(*[c for c in df.columns if c.lower() in ("shard", "slot")])
