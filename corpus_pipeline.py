@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality filter, near-duplicate removal, decontamination, removal of near copies, mixing, token ids.
+"""The corpus pipeline: quality filter, near-duplicate removal, decontamination, mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return the
 columns of documents. run() writes each stage's result to the shared folder and hands it to the next.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, mixing, near_copies, quality, queries, simhash, token_ids
+from tessera.llm import decontam, mixing, near_copies, quality, queries, token_ids
 from tessera.llm.common import stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,11 +24,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash links connect (4-word shingles, at most 4 bits), the document with the least id. Rows that
-    share that id stay together, and rows without an id stay."""
-    ids = simhash.near_duplicates(docs)
-    gone = ids.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group that 5-word Jaccard similarities of 0.8 or more connect, the document with the least id. SimHash groups
+    give candidates, and so do MinHash bands, as pairs of that similarity are up to 20 bits apart; all are compared exactly."""
+    return near_copies.without_copies(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +34,6 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*COLUMNS)
 
 
-def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that 5-word Jaccard similarities of 0.8 or more connect, one document: what SimHash links don't reach."""
-    return near_copies.without_copies(docs.select(*COLUMNS))
-
-
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     mixed = mixing.mix(docs).where("times > 0")
@@ -56,7 +49,6 @@ STAGES = [
     ("quality", quality_filter),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
-    ("near_copies", copies),
     ("mixing", source_mix),
     ("token_ids", token_files),
 ]
