@@ -55,7 +55,7 @@ def test_near_copies(spark, monkeypatch):
     for most in (500, 2):
         monkeypatch.setattr(near_copies, "CELL_ROWS", most)
         out = near_copies.without_copies(df)
-        assert out.columns == df.columns and {r.doc_id for r in out.collect()} == want | {1000, 1001}
+        assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == sorted(want | {1000})
     assert near_copies.without_copies(df.limit(0)).count() == 0
 
 
@@ -66,6 +66,29 @@ def test_repeated_and_missing_ids(spark):
     assert sorted((r.doc_id, r.text) for r in near_copies.without_copies(df).collect()) == [(3, a + " end"), (7, other)]
 
 
+def test_another_text_of_a_dropped_id_stays(spark):
+    df = spark.createDataFrame([(3, "one two three four five six"), (5, "one two three four five six"), (5, "quite another text of seven words")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[:5]) for r in near_copies.without_copies(df).collect()) == [(3, "one t"), (5, "quite")]
+
+
+def test_large_groups_are_not_compared_in_all_pairs(spark, monkeypatch):
+    """A chain, a dense group and bridges found only in the second wave, in cells of many blocks."""
+    monkeypatch.setattr(near_copies, "CELL_ROWS", 8)
+    rng = np.random.default_rng(2)
+    base = [f"w{x}" for x in range(120)]
+    rows, now = [], list(base)
+    for _ in range(120):  # a chain whose ends share nothing
+        now = now[1:] + [f"c{rng.integers(0, 1 << 40)}"]
+        rows.append((len(rows), " ".join(now)))
+    for _ in range(120):
+        new = list(base)
+        new[int(rng.integers(0, 120))] = f"d{rng.integers(0, 1 << 40)}"
+        rows.append((len(rows), " ".join(new)))
+    rows += [(1000 + k, t) for k, (_, t) in enumerate(rows[:50])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in near_copies.without_copies(df).collect()} == slow_kept(rows)
+
+
 def test_pipeline_mixes_no_near_copies(spark):
     d = "/root/testdata/sf0.001"
     docs = table(spark, d, "documents")
