@@ -77,3 +77,23 @@ def slices(texts: pa.Array, most_bytes: int = 1 << 20):
         if end > begin:
             yield texts.slice(begin, end - begin)
             begin = end
+
+
+#: Bits of one bitmap of bitmap_construct_agg, and bitmaps that are broadcast at most (64 MB).
+MAP_BITS, MAX_MAPS = 32768, 16384
+
+
+def is_set(bits: Column, at: Column) -> Column:
+    """A bit of a bitmap; a missing bitmap has none."""
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
+def of_rows(df: DataFrame, row: str, rows: DataFrame, max_maps: int = MAX_MAPS) -> DataFrame:
+    """df's rows whose number `row` is in rows (row). The numbers become bitmaps, which are sent to all tasks where they are
+    few, which is checked, so that df isn't shuffled whatever its rows hold; beyond, df is joined with them."""
+    maps = rows.groupBy(F.expr(f"{row} div {MAP_BITS}").alias(f"{OWN}map")).agg(F.bitmap_construct_agg(F.expr(f"{row} % {MAP_BITS}")).alias(f"{OWN}bits"))
+    maps = stage(maps, "row-bits")
+    maps = F.broadcast(maps) if maps.count() <= max_maps else maps
+    met = df.join(maps, F.expr(f"{row} div {MAP_BITS}") == F.col(f"{OWN}map"))
+    return met.where(is_set(F.col(f"{OWN}bits"), F.expr(f"{row} % {MAP_BITS}"))).drop(f"{OWN}map", f"{OWN}bits")

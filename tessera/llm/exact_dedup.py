@@ -12,12 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, stage
+from .common import MAP_BITS, MAX_MAPS, OWN, is_set, stage
 
-#: Bits of one bitmap of bitmap_construct_agg.
-MAP_BITS = 32768
-#: Bitmaps that are broadcast at most (64 MB).
-MAX_MAPS = 16384
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -43,12 +39,6 @@ def repeated_bits(digests: DataFrame, rows: int, bits_per_row: int = 16) -> tupl
     return stage(twice.groupBy("map").agg(F.bitmap_construct_agg("place").alias("bits")), "exact-bits"), maps
 
 
-def _is_set(bits: Column, at: Column) -> Column:
-    """A bit of a bitmap; a missing bitmap has none."""
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-
-
 def exact_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, bits_per_row: int = 16, max_maps: int = MAX_MAPS
 ) -> DataFrame:
@@ -77,7 +67,7 @@ def exact_dedup(
     of, places = _bits(sha, maps)
     tested = rows.join(F.broadcast(twice) if maps <= max_maps else twice, F.col(f"{OWN}map") == of, "left")
     for k, place in enumerate(places):
-        tested = tested.withColumn(f"{OWN}set{k}", _is_set(F.col(f"{OWN}bits"), place))
+        tested = tested.withColumn(f"{OWN}set{k}", is_set(F.col(f"{OWN}bits"), place))
     tested = tested.drop(f"{OWN}map", f"{OWN}bits")
     maybe = F.col(f"{OWN}set0") & F.col(f"{OWN}set1")
     own = [F.col(f"`{c}`") for c in carry]

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, stage
+from .common import OWN, of_rows, stage
 from .exact_dedup import WHITE
 from .simhash import components, near_duplicates
 
@@ -112,17 +112,16 @@ def _compare(batches):
         yield links(rows, roots, sets)
 
 
-def links(points: DataFrame, cells: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) among points (row, bands) that connect whatever near copies in common cells connect. cells (row, cell) are
-    further ones beside the bands; texts (row, text) may hold more rows than there are points."""
+def groups(points: DataFrame, cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of the points (row, bands) that near copies in common cells connect, root the least row; points without
+    any are absent. cells (row, cell) are further ones beside the bands; texts (row, text) may hold more rows than points."""
     every = points.select("row", F.posexplode("bands").alias("band", "cell")).select("row", "cell", (F.col("band") < FIRST).alias("early"))
     every = stage(every.unionByName(cells.select("row", "cell", F.lit(True).alias("early"))), "copies-cells")
     sizes = every.groupBy(F.col("cell").alias("c")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = every.join(stage(sizes, "copies-sizes"), F.col("cell") == F.col("c")).select("row", "cell", "early", "n")
     met = stage(met.withColumn("parts", F.expr(f"cast((n + {CELL_ROWS} - 1) div {CELL_ROWS} as int)")), "copies-met")
     # Texts only of rows that share a cell, which are few where copies are.
-    shared = stage(met.select(F.col("row").alias("r")).distinct(), "copies-shared")
-    some = stage(texts.join(shared, F.col("row") == F.col("r"), "left_semi"), "copies-texts")
+    some = stage(of_rows(texts, "row", met.select("row").distinct()), "copies-texts")
 
     def compared(tasks: DataFrame) -> DataFrame:
         full = tasks.join(some, "row").select("task", "row", "root", "text").repartition("task").sortWithinPartitions("task")
@@ -130,7 +129,7 @@ def links(points: DataFrame, cells: DataFrame, texts: DataFrame) -> DataFrame:
 
     part = F.pmod(F.xxhash64("row", "cell"), "parts").cast("int")
     first = compared(met.where("early").select("row", F.col("row").alias("root"), F.xxhash64("cell", part).alias("task")))
-    roots = components(first)
+    roots = stage(components(first), "copies-roots")
     rooted = met.join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row")).drop("node")
     rooted = stage(rooted, "copies-rooted")
     held = rooted.groupBy(F.col("cell").alias("c"), "root").agg(F.count(F.lit(1)).alias("m"), F.first("early").alias("done"), F.first("n").alias("of"))
@@ -144,7 +143,10 @@ def links(points: DataFrame, cells: DataFrame, texts: DataFrame) -> DataFrame:
     in_other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("i"), other.alias("j")))
     places = F.when(F.col("root") == F.col("main"), in_all).otherwise(F.array_union(in_all, in_other))
     again = again.select("row", "root", "cell", F.explode(places).alias("at")).select("row", "root", F.xxhash64("cell", "at.i", "at.j").alias("task"))
-    return first.unionByName(compared(again))
+    second = compared(again)
+    if second.isEmpty():
+        return roots
+    return components(second.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def words_key(text: Column) -> Column:
@@ -164,10 +166,10 @@ def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Copies have the same bands: one row for each sequence of words goes on.
     points = stage(made, "copies-bands").groupBy(key).agg(F.min("m").alias("m"), F.first("bands").alias("bands"))
     points = stage(points.select(F.col("m.row").alias("row"), "m", "bands"), "copies-points")
-    groups = near_duplicates(numbered.select(row, text_col), row, text_col, shingle=SHINGLE)
-    groups = groups.select(F.col(row).alias("r"), F.xxhash64(F.lit("simhash"), "component_id").alias("cell"))
-    cells = points.where(F.size("bands") > 0).select("row").join(groups, F.col("row") == F.col("r")).select("row", "cell")
-    found = components(links(points.select("row", "bands"), cells, texts))
+    alike = near_duplicates(numbered.select(row, text_col), row, text_col, shingle=SHINGLE)
+    alike = alike.select(F.col(row).alias("r"), F.xxhash64(F.lit("simhash"), "component_id").alias("cell"))
+    cells = points.where(F.size("bands") > 0).select("row").join(alike, F.col("row") == F.col("r")).select("row", "cell")
+    found = groups(points.select("row", "bands"), cells, texts)
     found = points.select("row", "m").join(found, F.col("row") == F.col("node"), "left").select(F.coalesce("root", "row").alias("root"), "m")
-    kept = stage(found.groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.row").alias(f"{OWN}kept")), "copies-kept")
-    return numbered.join(kept, F.col(row) == F.col(f"{OWN}kept"), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    kept = found.groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.row").alias(row))
+    return of_rows(numbered, row, kept).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -6,10 +6,11 @@ import itertools
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tessera.llm import near_copies
-from tessera.llm.common import stage, table
+from tessera.llm.common import of_rows, stage, table
 
 
 def slow_shingles(text):
@@ -66,6 +67,14 @@ def test_repeated_and_missing_ids(spark):
     assert sorted((r.doc_id, r.text) for r in near_copies.without_copies(df).collect()) == [(3, a + " end"), (7, other)]
 
 
+def test_rows_by_number(spark):
+    df = spark.range(200_000).repartition(7).select(F.monotonically_increasing_id().alias("row"), "id")
+    df = stage(df, "test")
+    some = df.where("id % 17 = 3").select("row")
+    for most in (1 << 14, 0):
+        assert sorted(r.id for r in of_rows(df, "row", some, most).select("id").collect()) == list(range(3, 200_000, 17))
+
+
 def test_another_text_of_a_dropped_id_stays(spark):
     df = spark.createDataFrame([(3, "one two three four five six"), (5, "one two three four five six"), (5, "quite another text of seven words")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text[:5]) for r in near_copies.without_copies(df).collect()) == [(3, "one t"), (5, "quite")]
