@@ -29,21 +29,13 @@ def flagged(spark, d: str, flag: str) -> DataFrame:
 
 
 def supply_edges(spark, d: str) -> DataFrame:
-    """(kind, in1, out): suppliers to parts modulo 100, of lines of quantity at most 2."""
-    lines = table(spark, d, "lineitem").where("l_quantity <= 2")
+    """(kind, in1, out): suppliers to parts, of all lines."""
     kind = F.element_at(F.array(F.lit("close"), F.lit("connect"), F.lit("combine")), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    return lines.select(kind.alias("kind"), F.col("l_suppkey").alias("in1"), (F.col("l_partkey") % 100).alias("out")).distinct()
-
-
-def all_supply_edges(spark, d: str) -> DataFrame:
-    """(kind, in1, out): suppliers to parts, of all lines, with whole part ids."""
-    lines = table(spark, d, "lineitem")
-    kind = F.element_at(F.array(F.lit("close"), F.lit("connect"), F.lit("combine")), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    return lines.select(kind.alias("kind"), F.col("l_suppkey").alias("in1"), F.col("l_partkey").alias("out")).distinct()
+    return table(spark, d, "lineitem").select(kind.alias("kind"), F.col("l_suppkey").alias("in1"), F.col("l_partkey").alias("out")).distinct()
 
 
 #: supply_edges in SQL.
-EDGES = "SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN 'close' WHEN 1 THEN 'connect' ELSE 'combine' END AS kind, l_suppkey AS in1, l_partkey % 100 AS out FROM lineitem WHERE l_quantity <= 2"
+EDGES = "SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN 'close' WHEN 1 THEN 'connect' ELSE 'combine' END AS kind, l_suppkey AS in1, l_partkey AS out FROM lineitem"
 
 
 def day_words(spark, d: str) -> DataFrame:

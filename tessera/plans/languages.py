@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import automata as A
 from ..functions import gadgets as G
 from ..functions import generators as gen
-from ..functions import puzzles
+from ..functions import puzzles, tables
 from ..functions import regex as R
 from ..operators import gadget_ops
 from .base import WORDS, day_words, query
+from .golden import GOLDEN
 
 n = 5
 V, C, P, E, S = (R.lit(n, k) for k in range(n))
@@ -71,6 +73,40 @@ for name, form in NORMAL_FORMS.items():
         lambda s, d, form=form: day_words(s, d).select("user_id", "day", _compiled(RX, form(RX.compile())).matches(F.col("word")).alias("accepted"))
     )
 
+#: States of the least automaton are the futures that words leave open, told apart by all words of up to 3 symbols; words
+#: of up to 3 symbols reach all of them.
+FUTURES = f"""WITH RECURSIVE w(w) AS (SELECT '' UNION ALL SELECT w || s FROM w, range({n}) t(s) WHERE length(w) < 4),
+    f AS (SELECT p.w AS w, string_agg(CASE WHEN regexp_full_match(p.w || q.w, '{PATTERN}') THEN '1' ELSE '0' END, '' ORDER BY q.w) AS f FROM w p, w q WHERE length(q.w) <= 3 GROUP BY p.w),
+    live AS (SELECT * FROM f WHERE contains(f, '1')),
+    t AS (SELECT DISTINCT a.f AS src, s, b.f AS dst FROM live a, range({n}) x(s), live b WHERE length(a.w) <= 3 AND b.w = a.w || s),
+    c AS (SELECT CAST(count(DISTINCT f) AS INTEGER) AS states, CAST(count(DISTINCT CASE WHEN f LIKE '1%' THEN f END) AS INTEGER) AS accepting FROM live WHERE length(w) <= 3),
+    m AS (SELECT states, accepting, (SELECT CAST(count(*) AS INTEGER) FROM t) AS transitions FROM c)"""
+
+
+@query("fa_counts", f"""{FUTURES} SELECT name, states, accepting, transitions FROM m, (VALUES ('minimize'), ('canonicalize'), ('remove_dead'), ('pack'), ('text')) t(name)
+    UNION ALL SELECT 'totalize', states + 1, accepting, (states + 1) * {n} FROM m""")
+def fa_counts(s, d):
+    """States, accepting states and transitions of the normal forms; only a total automaton has a state without a future."""
+    least = RX.compile().minimize()
+    forms = {"minimize": least, "canonicalize": RX.compile().canonical(), "remove_dead": least.totalize().remove_dead(), "pack": A.unpack(A.pack(least)), "text": A.parse(A.serialize(least)), "totalize": least.totalize()}
+    rows = [(k, st["states"], st["accepting"], st["transitions"]) for k, x in forms.items() for st in [x.stats()]]
+    return s.createDataFrame(rows, "name string, states int, accepting int, transitions int")
+
+
+def many_ways(k: int) -> A.Automaton:
+    """00 in k ways."""
+    return A.Automaton(2, [{0: set(range(1, k + 1))}, *({0: {k + 1}} for _ in range(k)), {}], [k + 1])
+
+
+@query("fa_reduce", "SELECT * FROM (VALUES ('many', 'right', 3), ('many', 'left', 3), ('ends', 'right', 4), ('ends', 'left', 4), ('ends', 'both', 3), ('fork', 'right', 4), ('fork', 'left', 3), ('none', 'right', 1)) t(name, side, states)")
+def fa_reduce(s, d):
+    """ends: 0 twice, or 01, by two ways with ends of their own; fork: 0, then 0 or 1, by two ways to one end."""
+    ends = A.Automaton(2, [{0: {1, 2}}, {0: {3}, 1: {3}}, {0: {4}}, {}, {}], [3, 4])
+    fork = A.Automaton(2, [{0: {1, 2}}, {0: {3}}, {1: {3}}, {}], [3])
+    cases = [("many", many_ways(1500), "right"), ("many", many_ways(1500), "left"), *(("ends", ends, x) for x in ("right", "left", "both")), ("fork", fork, "right"), ("fork", fork, "left"), ("none", A.Automaton(2, [{0: {1}}, {0: {0}}], []), "right")]
+    return s.createDataFrame([(name, side, len(x.optimize(side).rows)) for name, x, side in cases], "name string, side string, states int")
+
+
 BITS8 = "SELECT CAST(len AS INTEGER) AS len, CASE WHEN len = 0 THEN '' ELSE right(lpad(to_base(v, 2), 8, '0'), len) END AS word FROM range(9) l(len), range(256) b(v) WHERE v < pow(2, len)"
 
 
@@ -97,6 +133,15 @@ def fa_enumerate(s, d):
     return rx.words(s).select(F.replace("word", F.lit(","), F.lit("")).alias("word"), "length")
 
 
+@query("fa_enumerate_table", f"SELECT word, len AS length FROM ({BITS8}) WHERE regexp_full_match(word, '0*1(0|11){{0,2}}') AND len <= 5")
+def fa_enumerate_table(s, d):
+    """The same words from a table function, asked for by a row that holds the automaton's text."""
+    z, o = R.lit(2, 0), R.lit(2, 1)
+    rx = R.conj(2, R.cat(2, R.star(z), o, R.repeat(R.alt(2, z, R.lit(2, 1, 1)), 0, 2)), R.repeat(R.any_symbol(2), 0, 5))
+    words = tables.Words(F.lit(A.serialize(rx.compile())))
+    return words.select(F.replace("word", F.lit(","), F.lit("")).alias("word"), "length")
+
+
 CASES = {"none": R.empty(2), "some": R.lit(2, 0, 1), "all": R.all_words(2), "loop": R.star(R.lit(2, 0)), "clash": R.conj(2, R.lit(2, 0), R.lit(2, 1))}
 
 
@@ -160,6 +205,8 @@ def gadget_table(s, made: dict[str, bytes]):
     return s.createDataFrame([(k, bytearray(b)) for k, b in enumerate(made.values(), 1)], "id long, enc binary")
 
 
+#: Two one-way passages side by side; and three, of which the second leads back against the first.
+TWO, THREE = G.from_edges([(0, 0, 1, 0), (0, 2, 3, 0)]), G.from_edges([(0, 0, 1, 0), (0, 3, 2, 0), (0, 4, 5, 0)])
 NAMED = {"wire": WIRE, "diode": DIODE, **{f"{k}-split": splits(k) for k in (3, 4, 5)}}
 
 
@@ -178,18 +225,45 @@ def gadget_connect(s, d):
     return made.groupBy(called(F.col("e")).alias("source"), called(F.col("enc")).alias("made")).agg(F.count("*").cast("int").alias("n"))
 
 
-@query("gadget_combine", "SELECT * FROM (VALUES ('wire', 'wire', 'wire', 4), ('diode', 'diode', 'diode', 4)) t(l, r, made, n)")
+def listed(enc):
+    """The edges of gadgets in canonical order as text, undirected ones first."""
+
+    def text(encs: pa.Array) -> pa.Array:
+        out = []
+        for e in encs.to_pylist():
+            _, _, u, w = G.decode_edges(e)
+            out.append("|".join(" ".join("%d%d%d%d" % x for x in es) for es in (sorted(u), sorted(w))))
+        return pa.array(out, pa.string())
+
+    text.__annotations__ = {"encs": pa.Array, "return": pa.Array}
+    return F.arrow_udf(text, "string")(enc)
+
+
+#: What closing and mirroring really change: a wire and a diode in a row, a toggle beside a wire, a chiral gadget.
+ROW = G.from_edges([(0, 0, 1, 0), (0, 1, 2, 0), (0, 2, 1, 0)])
+STEP = G.from_edges([(0, 0, 1, 1), (1, 1, 2, 0)])
+CHIRAL = G.from_edges([(0, 0, 1, 0), (0, 1, 3, 1), (1, 2, 0, 0)])
+SOURCES = {"row": ROW, "step": STEP, "chiral": CHIRAL, "wire": WIRE, "diode": DIODE}
+
+
+@query("gadget_combine", GOLDEN["combine"])
 def gadget_combine(s, d):
-    g = gadget_table(s, {"wire": WIRE, "diode": DIODE})
-    made = gadget_ops.combine(g, g).where("in1 = in2")
-    name = lambda c: F.when(F.col(c) == 1, "wire").otherwise("diode")
-    return made.groupBy(name("in1").alias("l"), name("in2").alias("r"), called(F.col("enc")).alias("made")).agg(F.count("*").cast("int").alias("n"))
+    g = gadget_table(s, {"wire": WIRE, "diode": DIODE, "step": STEP})
+    made = gadget_ops.combine(g, g, most_locations=6)
+    return made.groupBy("in1", "in2", listed(F.col("enc")).alias("made")).agg(F.count("*").cast("int").alias("n"))
 
 
-@query("gadget_close", "SELECT * FROM (VALUES ('toggle'), ('tripwire')) t(name) WHERE false")
+@query("gadget_close", GOLDEN["close"])
 def gadget_close(s, d):
-    """Wires, diodes and splits are closed already."""
-    return gadget_ops.operate(gadget_table(s, NAMED), "close").select(F.col("kind").alias("name"))
+    return gadget_ops.operate(gadget_table(s, SOURCES), "close").select("in1", listed(F.col("enc")).alias("made"))
+
+
+@query("gadget_deleted", GOLDEN["deleted"])
+def gadget_deleted(s, d):
+    """Locations that vanish when two are joined."""
+    g = gadget_table(s, {"two": TWO, "three": THREE, "diode": DIODE, "4-split": splits(4)})
+    edges = gadget_ops.operate(g, "connect").unionByName(gadget_ops.combine(g, g, most_locations=6))
+    return gadget_ops.deleted(edges, g).where(F.size("deleted") > 0).select("kind", "in1", "in2", "splice", "rotation", "point", F.array_join(F.transform("deleted", lambda x: x.cast("string")), ",").alias("deleted"))
 
 
 @query("gadget_mirror", "SELECT 'mirror' AS kind, CAST(1 AS BIGINT) AS in1")
@@ -204,11 +278,11 @@ def gadget_stats(s, d):
     return gadget_ops.with_stats(gadget_table(s, NAMED)).select(called(F.col("enc")).alias("name"), "locations", "states", "uedges", "dedges", "components")
 
 
-@query("gadget_search")
+@query("gadget_search", GOLDEN["search"])
 def gadget_search(s, d):
-    """Everything that 3-splits and diodes build within 6 locations and two generations; SQL has no automata."""
+    """Everything that 3-splits and diodes build within 6 locations and two generations."""
     found, _ = gadget_ops.search(gadget_table(s, {"3-split": splits(3), "diode": DIODE}).select("enc"), precision=6, stop_after=2)
-    return found.select(called(F.col("enc")).alias("name"), F.lower(F.hex("enc")).alias("enc"), "generation")
+    return found.select(listed(F.col("enc")).alias("edges"), "generation")
 
 
 # generators
@@ -313,6 +387,13 @@ def puzzle_path(s, d):
     return s.createDataFrame([(",".join(map(str, w)),) for w in p.solutions()], "path string")
 
 
+@query("puzzle_walks", """WITH RECURSIVE w(path, pos, used, n) AS (SELECT '0', 0, 1, 1 UNION ALL SELECT path || ',' || t, t, used | (1 << t), n + 1 FROM (SELECT path, pos, used, n, unnest([pos - 4, pos + 4, CASE WHEN pos % 4 > 0 THEN pos - 1 END, CASE WHEN pos % 4 < 3 THEN pos + 1 END]) AS t FROM w WHERE pos <> 11) WHERE t BETWEEN 0 AND 11 AND (used >> t) & 1 = 0)
+    SELECT path, n AS length FROM w WHERE pos = 11""")
+def puzzle_walks(s, d):
+    """All paths between two corners of a grid, from a table function."""
+    return tables.Paths(F.lit(3), F.lit(4), F.lit(0), F.lit(11))
+
+
 @query("puzzle_ways", "SELECT clue, CAST(count(*) AS INTEGER) AS ways FROM (VALUES ('1,1', '0*10+10*'), ('2', '0*110*'), ('1,2,1', '0*10+110+10*')) c(clue, pattern), (SELECT lpad(to_base(v, 2), 8, '0') AS g FROM range(256) t(v)) WHERE regexp_full_match(g, pattern) GROUP BY clue")
 def puzzle_ways(s, d):
     return s.createDataFrame([(",".join(map(str, c)), puzzles.line_ways(c, 8)) for c in ([1, 1], [2], [1, 2, 1])], "clue string, ways int")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from functools import partial
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..operators import gadget_ops
 from ..operators import intervals as iv
 from ..operators import relations as rel
 from ..operators import search
-from .base import EDGES, SQL, all_supply_edges, flagged, islands_sql, query, supply_edges, table
+from ..operators.fixpoint import work_dir
+from .base import EDGES, flagged, islands_sql, query, supply_edges, table
 
 A, N, R = (f"SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS id FROM lineitem WHERE l_returnflag = '{f}'" for f in "ANR")
 SPANS = "SELECT l_orderkey AS lo, l_orderkey + l_linenumber AS hi FROM lineitem WHERE l_returnflag = 'R'"
@@ -73,24 +75,13 @@ def iv_contains(s, d):
     return iv.contains(table(s, d, "customer").select(F.col("c_custkey").alias("id")), *sets(s, d, "A"))
 
 
-BRANDS = "SELECT p_brand AS key, p_partkey AS id FROM part WHERE p_size <= 3"
-
-
-@query("iv_overlap", f"""WITH k AS ({BRANDS}), w AS (SELECT DISTINCT key, id + t AS id FROM k, (SELECT 0 AS t UNION ALL SELECT 1) WHERE (key < 'Brand#3') OR t = 0),
-    i AS ({islands_sql("SELECT * FROM w", "key")}), n AS (SELECT DISTINCT key FROM k), p AS (SELECT x.key AS a, y.key AS b FROM n x, n y WHERE x.key < y.key)
-    SELECT a, b, CASE WHEN EXISTS (SELECT 1 FROM w x JOIN w y ON x.id = y.id WHERE x.key = a AND y.key = b) THEN 'overlap'
-        WHEN EXISTS (SELECT 1 FROM i x JOIN i y ON x.hi = y.lo OR y.hi = x.lo WHERE x.key = a AND y.key = b) THEN 'adjacent' ELSE 'separate' END AS state FROM p""")
+@query("iv_overlap", f"""WITH k AS (SELECT p_brand AS key, p_partkey AS id FROM part), w AS (SELECT DISTINCT key, id + t AS id FROM k, (SELECT 0 AS t UNION ALL SELECT 1) WHERE (key < 'Brand#3') OR t = 0),
+    i AS ({islands_sql("SELECT * FROM w", "key")}), n AS (SELECT DISTINCT key FROM k), p AS (SELECT x.key AS a, y.key AS b FROM n x, n y WHERE x.key < y.key),
+    o AS (SELECT DISTINCT x.key AS a, y.key AS b FROM w x JOIN w y ON x.id = y.id WHERE x.key < y.key),
+    t AS (SELECT x.key AS a, y.key AS b FROM i x JOIN i y ON x.hi = y.lo UNION SELECT y.key, x.key FROM i x JOIN i y ON x.hi = y.lo)
+    SELECT a, b, CASE WHEN (a, b) IN (SELECT (a, b) FROM o) THEN 'overlap' WHEN (a, b) IN (SELECT (a, b) FROM t) THEN 'adjacent' ELSE 'separate' END AS state FROM p""")
 def iv_overlap(s, d):
-    return brand_overlap(table(s, d, "part").where("p_size <= 3"))
-
-
-@query("iv_overlap_all", SQL["iv_overlap"].replace(" WHERE p_size <= 3", ""))
-def iv_overlap_all(s, d):
-    return brand_overlap(table(s, d, "part"))
-
-
-def brand_overlap(parts):
-    k = parts.select(F.col("p_brand").alias("key"), F.col("p_partkey").alias("id"))
+    k = table(s, d, "part").select(F.col("p_brand").alias("key"), F.col("p_partkey").alias("id"))
     wide = k.select("key", F.col("id").alias("lo"), (F.col("id") + F.when(F.col("key") < "Brand#3", 2).otherwise(1)).alias("hi"))
     n = k.select("key").distinct()
     pairs = n.select(F.col("key").alias("a")).join(n.select(F.col("key").alias("b")), F.col("a") < F.col("b"))
@@ -153,9 +144,12 @@ def comp_intersect(s, d):
     return rel.only(flagged(s, d, "A"), flagged(s, d, "R"))
 
 
-@query("comp_record", islands_sql(f"({A}) UNION ({R})"))
+@query("comp_record", f"WITH done AS ({A}), more AS (({R}) EXCEPT ({A})) SELECT 'disjoint' AS way, lo, hi FROM ({islands_sql('SELECT * FROM done UNION SELECT * FROM more')}) UNION ALL SELECT 'overlapping', lo, hi FROM ({islands_sql(f'({A}) UNION ({R})')})")
 def comp_record(s, d):
-    return rel.record(*sets(s, d, "A", "R"), allow_overlap=True)
+    """Of inputs that were not complete before, which is checked; and of overlapping ones, which must be allowed."""
+    done, more = sets(s, d, "A", "R")
+    disjoint = rel.record(done, iv.difference(more, done))
+    return disjoint.select(F.lit("disjoint").alias("way"), "lo", "hi").unionByName(rel.record(done, more, allow_overlap=True).select(F.lit("overlapping").alias("way"), "lo", "hi"))
 
 
 @query("comp_compact", islands_sql(f"({A}) UNION ({R}) UNION ({N})"))
@@ -164,8 +158,8 @@ def comp_compact(s, d):
 
 
 @query("comp_rebuild", islands_sql(f"SELECT kind, in1 AS id FROM ({EDGES})", "kind"))
-def comp_rebuild(s, d, edges=supply_edges):
-    return rel.rebuild(edges(s, d))
+def comp_rebuild(s, d):
+    return rel.rebuild(supply_edges(s, d))
 
 
 def seeds(s, d):
@@ -173,33 +167,84 @@ def seeds(s, d):
 
 
 @query("edge_follow", f"SELECT DISTINCT out AS id FROM ({EDGES}) WHERE in1 < 5")
-def edge_follow(s, d, edges=supply_edges):
-    return rel.follow(seeds(s, d), edges(s, d))
+def edge_follow(s, d):
+    return rel.follow(seeds(s, d), supply_edges(s, d))
 
 
 @query("edge_follow_inputs", f"SELECT DISTINCT 'input' AS side, in1 AS id FROM ({EDGES}) WHERE in1 < 5 UNION SELECT DISTINCT 'output', out FROM ({EDGES}) WHERE in1 < 5")
-def edge_follow_inputs(s, d, edges=supply_edges):
-    return rel.follow_with_inputs(seeds(s, d), edges(s, d))
+def edge_follow_inputs(s, d):
+    return rel.follow_with_inputs(seeds(s, d), supply_edges(s, d))
 
 
 @query("edge_skinny", f"SELECT DISTINCT kind, in1, out FROM ({EDGES})")
-def edge_skinny(s, d, edges=supply_edges):
-    return rel.skinny(edges(s, d))
+def edge_skinny(s, d):
+    return rel.skinny(supply_edges(s, d))
 
 
 @query("edge_point", f"SELECT kind, in1, out FROM ({EDGES}) WHERE in1 = 3")
-def edge_point(s, d, edges=supply_edges):
-    return edges(s, d).where("in1 = 3")
+def edge_point(s, d):
+    return rel.of_input(supply_edges(s, d), 3)
+
+
+@query("edge_first", f"SELECT arg_min(kind, (kind, out)) AS kind, in1, arg_min(out, (kind, out)) AS out FROM ({EDGES}) WHERE in1 < 5 GROUP BY in1")
+def edge_first(s, d):
+    return rel.first_edges(seeds(s, d), supply_edges(s, d))
+
+
+@query("edge_ordered", f"SELECT kind, in1, out, row_number() OVER (ORDER BY out, kind, in1) AS place FROM ({EDGES})")
+def edge_ordered(s, d):
+    """The place of each edge in backward order, from the sorted ranges."""
+    return rel.dense_rank_by(rel.ordered(supply_edges(s, d), backwards=True), ["out", "kind", "in1"]).select("kind", "in1", "out", F.col("rank").alias("place"))
+
+
+@query("edge_pages", f"SELECT DISTINCT kind, in1, out FROM ({EDGES})")
+def edge_pages(s, d):
+    """Skinny pages, written and read back."""
+    path = f"{work_dir(s)}/pages-{uuid.uuid4().hex}"
+    rel.write_skinny(supply_edges(s, d), path)
+    return s.read.schema("in1 long, out long, kind string").parquet(path).select("kind", "in1", "out")
+
+
+@query("edge_inverted_file", f"SELECT DISTINCT out, in1 FROM ({EDGES})")
+def edge_inverted_file(s, d):
+    """The inverted file in small blocks, written and read back."""
+    path = f"{work_dir(s)}/inverted-{uuid.uuid4().hex}"
+    rel.write_inverted(supply_edges(s, d), path, block=16)
+    return rel.read_inverted(s, path)
 
 
 @query("edge_incoming", f"SELECT kind, in1, out FROM ({EDGES}) WHERE out < 5")
-def edge_incoming(s, d, edges=supply_edges):
-    return rel.incoming(edges(s, d), seeds(s, d))
+def edge_incoming(s, d):
+    return rel.incoming(supply_edges(s, d), seeds(s, d))
 
 
 @query("edge_invert", f"SELECT out, count(*) AS n, string_agg(CAST(in1 AS VARCHAR), ',' ORDER BY in1) AS ins FROM (SELECT DISTINCT in1, out FROM ({EDGES})) GROUP BY out")
-def edge_invert(s, d, edges=supply_edges):
-    return rel.inverted(edges(s, d))
+def edge_invert(s, d):
+    return rel.inverted(supply_edges(s, d))
+
+
+@query("comp_needs", """WITH l AS (SELECT DISTINCT l_suppkey AS id FROM lineitem), r AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey < 4), done AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem),
+    o AS (SELECT l.id, string_agg(CAST(r.id AS VARCHAR), ',' ORDER BY r.id) AS rights FROM l, r WHERE NOT EXISTS (SELECT 1 FROM done WHERE a = l.id AND b = r.id) GROUP BY l.id) """ + islands_sql("SELECT * FROM o", "rights"))
+def comp_needs(s, d):
+    return rel.needs(*supply_needs(s, d))
+
+
+@query("comp_needs_sizes", """WITH l AS (SELECT DISTINCT l_suppkey AS id FROM lineitem), r AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey < 4)
+    SELECT count(DISTINCT l.id) AS lefts, count(*) AS pairs FROM l, r WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = l.id AND l_partkey = r.id)""")
+def comp_needs_sizes(s, d):
+    return rel.needs_sizes(rel.needs(*supply_needs(s, d)))
+
+
+def supply_needs(s, d):
+    """Suppliers as lefts, four of them as rights; what lines have is done."""
+    done = table(s, d, "lineitem").select(F.col("l_suppkey").alias("left"), F.col("l_partkey").alias("right"))
+    return done.select(F.col("left").alias("id")).distinct(), done, table(s, d, "supplier").where("s_suppkey < 4").select(F.col("s_suppkey").alias("id"))
+
+
+@query("stat_merge", "SELECT l_returnflag AS operation, CAST(sum(l_linenumber) AS BIGINT) AS novel, CAST(count(*) AS BIGINT) AS edges FROM lineitem GROUP BY 1")
+def stat_merge(s, d):
+    tasks = table(s, d, "lineitem").select(F.col("l_returnflag").alias("operation"), F.col("l_linenumber").alias("novel"), F.lit(1).alias("edges"))
+    return rel.merged_statistics(tasks, ["operation"])
 
 
 PAIRS = "SELECT min(a.doc_id) AS a, min(b.doc_id) AS b FROM documents a JOIN documents b ON a.text = b.text WHERE a.source = 'src0' AND b.source <> 'src0' GROUP BY a.text"
@@ -230,34 +275,51 @@ def one(s):
 
 
 @query("search_closure", islands_sql(f"WITH RECURSIVE e AS ({EDGES}), r(id) AS (SELECT CAST(1 AS BIGINT) UNION SELECT e.out FROM r JOIN e ON e.in1 = r.id) SELECT id FROM r"))
-def search_closure(s, d, edges=supply_edges):
-    return iv.islands(search.closure(one(s), edges(s, d)).select("id"))
+def search_closure(s, d):
+    return iv.islands(search.closure(one(s), supply_edges(s, d)).select("id"))
 
 
 @query("search_steps", f"{STEPS} SELECT id, step FROM m")
-def search_steps(s, d, edges=supply_edges):
-    return search.closure(one(s), edges(s, d)).select("id", "step")
+def search_steps(s, d):
+    return search.closure(one(s), supply_edges(s, d)).select("id", "step")
 
 
 @query("search_inverse", STEPS.replace("e.out, r.step", "e.in1, r.step").replace("ON e.in1 = r.id", "ON e.out = r.id") + " SELECT id, step FROM m")
-def search_inverse(s, d, edges=supply_edges):
-    return search.inverse(one(s), edges(s, d)).select("id", "step")
+def search_inverse(s, d):
+    return search.inverse(one(s), supply_edges(s, d)).select("id", "step")
 
 
 @query("search_provenance", f"""{STEPS} SELECT m.id, m.step, arg_min(e.kind, (e.kind, e.in1)) AS kind, arg_min(e.in1, (e.kind, e.in1)) AS source
     FROM m LEFT JOIN (e JOIN m AS p ON p.id = e.in1) ON e.out = m.id AND p.step = m.step - 1 GROUP BY m.id, m.step""")
-def search_provenance(s, d, edges=supply_edges):
-    return search.closure(one(s), edges(s, d))
+def search_provenance(s, d):
+    return search.closure(one(s), supply_edges(s, d))
 
 
 @query("search_multi_kind", f"WITH RECURSIVE e AS ({EDGES}), r(id) AS (SELECT CAST(1 AS BIGINT) UNION SELECT e.out FROM r JOIN e ON e.in1 = r.id) SELECT id FROM r")
-def search_multi_kind(s, d, edges=supply_edges):
-    return search.by_priority(one(s), edges(s, d), ["close", "connect", "combine"]).select("id")
+def search_multi_kind(s, d):
+    return search.by_priority(one(s), supply_edges(s, d), ["close", "connect", "combine"]).select("id")
+
 
+#: Parts of size 25 at most have names; the rest can only be found as what closing makes of a named part.
+NAMED = "SELECT p_name AS name, p_partkey AS id FROM part WHERE p_size <= 25"
 
-#: The same over all lines and whole part ids; without SQL, tests hold them against brute force.
-for _f in (comp_rebuild, edge_follow, edge_follow_inputs, edge_skinny, edge_point, edge_incoming, edge_invert, search_closure, search_steps, search_inverse, search_provenance, search_multi_kind):
-    query(f"{_f.__name__}_all")(partial(_f, edges=all_supply_edges))
+
+@query("search_report", f"""WITH RECURSIVE e AS ({EDGES}), r(id) AS (SELECT CAST(1 AS BIGINT) UNION SELECT e.out FROM r JOIN e ON e.in1 = r.id),
+    one AS (SELECT name, min(id) AS id FROM ({NAMED}) GROUP BY name HAVING count(DISTINCT id) = 1),
+    closed AS (SELECT out AS id, min(in1) AS of FROM e WHERE kind = 'close' AND in1 IN (SELECT id FROM one) AND out NOT IN (SELECT id FROM one) GROUP BY out),
+    aims AS (SELECT DISTINCT id, id AS of, '' AS suffix FROM one WHERE id <> 1 UNION ALL SELECT id, of, 'closed' FROM closed)
+    SELECT aims.id, one.name, aims.suffix FROM aims JOIN r ON r.id = aims.id JOIN one ON one.id = aims.of""")
+def search_report(s, d):
+    named = table(s, d, "part").where("p_size <= 25").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id"))
+    return search.report(one(s), supply_edges(s, d), named)[0]
+
+
+@query("search_trace", f"""{STEPS}, p AS (SELECT m.id, m.step, arg_min(e.in1, (e.kind, e.in1)) AS source FROM m LEFT JOIN (e JOIN m AS q ON q.id = e.in1) ON e.out = m.id AND q.step = m.step - 1 GROUP BY m.id, m.step),
+    t(id) AS (SELECT id FROM p WHERE id % 50 = 7 UNION SELECT p.source FROM t JOIN p ON p.id = t.id WHERE p.source IS NOT NULL) SELECT p.id, p.step, p.source FROM p JOIN t ON t.id = p.id""")
+def search_trace(s, d):
+    """How a fiftieth of all ids is reached, which are the targets asked for."""
+    found = search.closure(one(s), supply_edges(s, d))
+    return search.traces(found, found.where("id % 50 = 7").select("id")).select("id", "step", "source")
 
 
 @query("search_generation", """WITH RECURSIVE r(id, generation) AS (SELECT s_suppkey, CAST(0 AS BIGINT) FROM supplier WHERE s_suppkey < 5
@@ -276,11 +338,34 @@ def store_selsert(s, d):
     return rel.selsert(store, docs.where("id % 2 = 1"), "text", [F.length("text")]).select(F.sha2("text", 256).alias("content"), "id")
 
 
-@query("store_stats", "SELECT doc_id AS id, length(text) AS chars, len(string_split(text, ' ')) AS pieces, length(text) - length(replace(text, chr(10), '')) AS breaks FROM documents")
-def store_stats(s, d):
-    docs = table(s, d, "documents")
-    long = lambda c: c.cast("long")
-    return docs.select(F.col("doc_id").alias("id"), long(F.length("text")).alias("chars"), long(F.size(F.split("text", " "))).alias("pieces"), long(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("breaks"))
+@query("store_hashes", "SELECT doc_id AS id, true AS same FROM documents")
+def store_hashes(s, d):
+    """Sorted hash files, written, read back and held against the contents."""
+    docs, path = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), f"{work_dir(s)}/hashes-{uuid.uuid4().hex}"
+    rel.write_hashes(docs, "text", path)
+    back = s.read.schema("hash long, id long").parquet(path)
+    return back.join(docs, "id").select("id", (F.col("hash") == F.xxhash64("text")).alias("same"))
+
+
+@query("store_contents", "SELECT 'ids' AS way, doc_id AS id, sha256(text) AS content FROM documents WHERE doc_id IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'intervals', doc_id, sha256(text) FROM documents WHERE doc_id >= 10 AND doc_id < 60 OR doc_id >= 90 AND doc_id < 95")
+def store_contents(s, d):
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    spans = s.createDataFrame([(10, 60), (90, 95)], "lo long, hi long")
+    ways = {"ids": table(s, d, "supplier").select(F.col("s_suppkey").alias("id")), "intervals": spans}
+    made = [rel.contents(w, docs).select(F.lit(k).alias("way"), "id", F.sha2("text", 256).alias("content")) for k, w in ways.items()]
+    return made[0].unionByName(made[1])
+
+
+@query("pred_catalog", islands_sql("SELECT 'locations<=20' AS name, p_partkey AS id FROM part WHERE p_size <= 20 UNION ALL SELECT 'states<=30', p_partkey FROM part WHERE p_size <= 30", "name"))
+def pred_catalog(s, d):
+    """Indexes made over some objects, extended by the others, listed and read; one is made and deleted again."""
+    stats = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("locations"), F.col("p_size").alias("states"))
+    had = rel.Catalog(s, f"{work_dir(s)}/indexes-{uuid.uuid4().hex}")
+    for name in ("locations<=20", "states<=30", "states<=5"):
+        had.create(name, stats.where("id % 3 > 0"))
+    had.delete("states<=5")
+    made = [had.update(name, stats.where("id % 3 = 0")).select(F.lit(name).alias("name"), "lo", "hi") for name in had.names()]
+    return made[0].unionByName(made[1])
 
 
 @query("store_names", "SELECT name, count(DISTINCT id) AS n, min(id) AS least, count(DISTINCT id) = 1 AS single FROM (SELECT p_name AS name, p_partkey AS id FROM part UNION ALL SELECT p_brand, p_partkey FROM part) GROUP BY name")
@@ -314,23 +399,39 @@ def codec_varint_len(s, d):
     return values(s, d).select("id", codec.varint_length(F.col("v")).alias("n"), codec.varint32_length(F.col("v")).alias("m"))
 
 
+@query("codec_varint_bytes", f"""WITH v AS ({VALUES}), n AS (SELECT id, v, v % 4294967296 AS w, CASE {' '.join(f'WHEN v < {1 << 7 * k} THEN {k}' for k in range(1, 9))} ELSE 9 END - 1 AS more FROM v),
+    b AS (SELECT *, (length(to_binary(v)) + 7) // 8 AS bytes, (length(to_binary(w)) + 7) // 8 AS wide FROM n)
+    SELECT id, lower(lpad(to_hex((((CAST(255 AS BIGINT) << (8 - more)) & 255) << (8 * more)) | v), 2 * more + 2, '0')) AS unary,
+      lower(CASE WHEN v <= 240 THEN lpad(to_hex(v), 2, '0') WHEN v <= 2287 THEN lpad(to_hex((v - 240) // 256 + 241), 2, '0') || lpad(to_hex((v - 240) % 256), 2, '0')
+        WHEN v <= 67823 THEN 'f9' || lpad(to_hex(v - 2288), 4, '0') ELSE lpad(to_hex(247 + bytes), 2, '0') || array_to_string(list_transform(range(bytes), lambda i: lpad(to_hex((v >> (8 * i)) & 255), 2, '0')), '') END) AS long,
+      lower(CASE WHEN w <= 244 THEN lpad(to_hex(w), 2, '0') WHEN w <= 2291 THEN lpad(to_hex((w - 244) // 256 + 245), 2, '0') || lpad(to_hex((w - 244) % 256), 2, '0')
+        WHEN w <= 67827 THEN 'fd' || lpad(to_hex(w - 2292), 4, '0') ELSE CASE WHEN wide <= 3 THEN 'fe' ELSE 'ff' END || array_to_string(list_transform(range(CASE WHEN wide <= 3 THEN 3 ELSE 4 END), lambda i: lpad(to_hex((w >> (8 * i)) & 255), 2, '0')), '') END) AS short
+    FROM b""")
+def codec_varint_bytes(s, d):
+    hexed = lambda v, form: F.lower(F.hex(codec.varints(F.array(v), form)))
+    return values(s, d).select("id", hexed(F.col("v"), "unary").alias("unary"), hexed(F.col("v"), "64").alias("long"), hexed(F.col("v") % (1 << 32), "32").alias("short"))
+
+
+@query("codec_varint_back", f"SELECT id, v, v % 4294967296 AS w FROM ({VALUES})")
+def codec_varint_back(s, d):
+    """All three forms, written and read again, side by side in one array."""
+    v, w = F.col("v"), F.col("v") % (1 << 32)
+    first = lambda x, form: F.element_at(codec.unvarints(codec.varints(F.array(x, x), form), form), 2)
+    same = lambda x, *forms: F.when(F.array_min(F.array(*[first(x, f) for f in forms])) == F.array_max(F.array(*[first(x, f) for f in forms])), first(x, forms[0]))
+    return values(s, d).select("id", same(v, "unary", "64").alias("v"), first(w, "32").alias("w"))
+
+
 @query("codec_delta", "SELECT l_orderkey AS k, l_partkey AS v, l_partkey - coalesce(lag(l_partkey) OVER w, 0) AS delta FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_partkey)")
 def codec_delta(s, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("k").orderBy("v")
     lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("v")).distinct()
-    coded = lines.select("k", "v", (F.col("v") - F.coalesce(F.lag("v").over(w), F.lit(0))).alias("delta"))
     # Decoded again by a running sum.
-    return coded.select("k", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("v"), "delta")
+    return codec.undeltas(codec.deltas(lines, ["k"], "v").withColumnRenamed("v", "order"), ["k"], "order", name="v").drop("order")
 
 
 @query("codec_slls", "SELECT DISTINCT l_linenumber % 4 AS s, l_orderkey % 6 AS a, l_partkey % 6 AS b, l_suppkey % 4 AS t, ((l_orderkey % 6 * 6 + l_partkey % 6) * 4 + l_linenumber % 4) * 4 + l_suppkey % 4 AS code FROM lineitem")
 def codec_slls(s, d):
     e = table(s, d, "lineitem").select((F.col("l_linenumber") % 4).alias("s"), (F.col("l_orderkey") % 6).alias("a"), (F.col("l_partkey") % 6).alias("b"), (F.col("l_suppkey") % 4).alias("t")).distinct()
-    code = ((F.col("a") * 6 + F.col("b")) * 4 + F.col("s")) * 4 + F.col("t")
-    back = e.select(code.alias("code"))
-    return back.select(F.expr("cast(code div 4 % 4 as int)").alias("s"), F.expr("code div 96").alias("a"), F.expr("code div 16 % 6").alias("b"), (F.col("code") % 4).alias("t"), "code")
+    return gadget_ops.uncoded(e.select(gadget_ops.edge_codes(6, 4).alias("code")), 6, 4)
 
 
 @query("gadget_undirected", """WITH e AS (SELECT DISTINCT l_orderkey % 50 AS g, l_linenumber % 2 AS s, l_partkey % 4 AS a, l_suppkey % 4 AS b, CAST(l_quantity AS BIGINT) % 2 AS t FROM lineitem),
@@ -338,7 +439,4 @@ def codec_slls(s, d):
     SELECT g, s, a, b, t, EXISTS (SELECT 1 FROM n r WHERE r.g = n.g AND (r.s, r.a, r.b, r.t) = (n.t, n.b, n.a, n.s)) AS undirected FROM n""")
 def gadget_undirected(s, d):
     e = table(s, d, "lineitem").select((F.col("l_orderkey") % 50).alias("g"), (F.col("l_linenumber") % 2).alias("s"), (F.col("l_partkey") % 4).alias("a"), (F.col("l_suppkey") % 4).alias("b"), (F.col("l_quantity").cast("long") % 2).alias("t")).distinct()
-    n = e.where(~((F.col("s") == F.col("t")) & (F.col("a") == F.col("b"))))
-    back = n.select(F.col("g").alias("_g"), F.col("t").alias("_s"), F.col("b").alias("_a"), F.col("a").alias("_b"), F.col("s").alias("_t"))
-    on = [F.col(c) == F.col(f"_{c}") for c in "gsabt"]
-    return n.join(back, on, "left").withColumn("undirected", F.col("_g").isNotNull()).drop("_g", "_s", "_a", "_b", "_t")
+    return gadget_ops.split_edges(e, "g")

@@ -39,7 +39,7 @@ def steps(pairs, start=1):
 
 
 def test_all_edges(spark, edges):
-    got = lambda name, *cols: sorted(tuple(r) for r in catalog.queries()[f"{name}_all"](spark, DIR).select(*cols).collect())
+    got = lambda name, *cols: sorted(tuple(r) for r in catalog.queries()[name](spark, DIR).select(*cols).collect())
     assert len({b for _, _, b in edges}) > 100
     few, out = {e for e in edges if e[1] < 5}, defaultdict(set)
     for _, a, b in edges:
@@ -55,13 +55,13 @@ def test_all_edges(spark, edges):
 
 
 def test_searches_over_all_edges(spark, edges):
-    got = lambda name, *cols: sorted(tuple(r) for r in catalog.queries()[f"{name}_all"](spark, DIR).select(*cols).collect())
+    got = lambda name, *cols: sorted(tuple(r) for r in catalog.queries()[name](spark, DIR).select(*cols).collect())
     step = steps({(a, b) for _, a, b in edges})
     assert got("search_closure", "lo", "hi") == runs(step)
     assert got("search_steps", "id", "step") == sorted(step.items())
     assert got("search_multi_kind", "id") == sorted((i,) for i in step)
     assert got("search_inverse", "id", "step") == sorted(steps({(b, a) for _, a, b in edges}).items())
-    rows = catalog.queries()["search_provenance_all"](spark, DIR).collect()
+    rows = catalog.queries()["search_provenance"](spark, DIR).collect()
     assert {r.id: r.step for r in rows} == step and len(rows) == len(step)
     for r in rows:
         by = [(k, a) for k, a, b in edges if b == r.id and step.get(a, -9) == r.step - 1]
