@@ -144,13 +144,14 @@ def commit(store: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
     return store, made.join(out, F.col("enc") == F.col("_e")).drop("enc", "_e")
 
 
-def search(sources: DataFrame, precision: int, stop_after: int, max_states: int | None = None, close: bool = True, mirror: bool = True) -> tuple[DataFrame, DataFrame]:
+def search(sources: DataFrame, precision: int, stop_after: int, max_states: int | None = None, stop_round: int | None = None, close: bool = True, mirror: bool = True) -> tuple[DataFrame, DataFrame]:
     """Generational search from sources (enc): (gadgets with generation, edges).
 
     A generation begins with the sources, later with the combinations of the last generation and the rights. Then close,
     mirror and connect follow one another until nothing is new: what closing changes is replaced by what it makes, mirror
     images join, and connections begin the next round. The rights are what is left of the sources after their first
     close and mirror. Each input is worked on once; gadgets of more than max_states are kept, but nothing is made of them.
+    The last generation ends after stop_round rounds of connections, where given.
     """
     store = relations.selsert(sources.select(F.lit(0).cast("long").alias("id"), "enc").limit(0), sources.select("enc").distinct(), "enc", [])
     store = materialise(store.select("id", "enc"), "store")
@@ -177,7 +178,7 @@ def search(sources: DataFrame, precision: int, stop_after: int, max_states: int
     for generation in range(stop_after + 1):
         if generation:
             now, _ = work(front, lambda lefts: combine(lefts, store.join(rights, "id", "left_semi"), precision))
-        front = now.limit(0)
+        front, rounds = now.limit(0), 0
         while not now.isEmpty():
             if close:
                 made, new = work(now, lambda inputs: operate(inputs, "close"))
@@ -187,6 +188,9 @@ def search(sources: DataFrame, precision: int, stop_after: int, max_states: int
             if rights is None:
                 rights = now
             front = front.unionByName(now)
+            if generation == stop_after and rounds == stop_round:
+                break
+            rounds += 1
             now, _ = work(now, lambda inputs: operate(inputs, "connect"))
         front = materialise(front, "front")
         if front.isEmpty():

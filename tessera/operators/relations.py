@@ -53,12 +53,12 @@ def thresholds(objects: DataFrame, column: Column) -> DataFrame:
     ids = materialise(ids.withColumn("b", iv._div("id", iv.BUCKET)), "values")
     # Values by rank, a row each; joined, so that their number has no bound.
     values = materialise(dense_rank_by(ids.select(F.col("v").alias("k")).distinct(), ["k"]).select("k", "rank"), "ranks")
-    top = F.broadcast(values.agg((F.max("rank") + 1).alias("top")))
+    top = F.lit(values.count() + 1)
     w = Window.partitionBy("b").orderBy("id")
     ranked = ids.join(values, F.col("v") == F.col("k")).select("id", "b", "rank")
     beside = lambda f, step: F.when(f("id").over(w) == F.col("id") + step, f("rank").over(w))
-    edges = ranked.select("id", "b", "rank", beside(F.lag, -1).alias("before"), beside(F.lead, 1).alias("after")).join(top)
-    spans = lambda other: F.when(F.coalesce(other, "top") > F.col("rank"), F.sequence("rank", F.coalesce(other, "top") - 1))
+    edges = ranked.select("id", "b", "rank", beside(F.lag, -1).alias("before"), beside(F.lead, 1).alias("after"))
+    spans = lambda other: F.when(F.coalesce(other, top) > F.col("rank"), F.sequence("rank", F.coalesce(other, top) - 1))
     begin = edges.select("b", F.explode(spans("before")).alias("rank"), F.col("id").alias("pos"), F.lit(0).alias("end"))
     end = edges.select("b", F.explode(spans("after")).alias("rank"), (F.col("id") + 1).alias("pos"), F.lit(1).alias("end"))
     both = begin.unionByName(end)

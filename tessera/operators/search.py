@@ -49,18 +49,22 @@ def inverse(targets: DataFrame, edges: DataFrame, rounds: int | None = None) ->
 
 def by_priority(seeds: DataFrame, edges: DataFrame, kinds: list[str], rounds: int = 1000) -> DataFrame:
     """(id, kind, source): reachable ids where earlier kinds are followed to their end before a later kind is tried once."""
+    edges = materialise(edges.select("kind", "in1", "out"), "edges")  # met in every round
     found = materialise(seeds.select(F.col("id").cast("long").alias("id"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("source")).distinct())
     waiting = {k: found.select("id") for k in kinds}
-    for _ in range(rounds):
-        kind = next((k for k in kinds if not waiting[k].isEmpty()), None)
+    for k in range(rounds):
+        kind = next((x for x in kinds if not waiting[x].isEmpty()), None)
         if kind is None:
             return found
         hit = edges.where(F.col("kind") == kind).join(waiting[kind].select(F.col("id").alias("in1")), "in1")
         new = hit.groupBy(F.col("out").alias("id")).agg(F.min("in1").alias("source")).join(found.select("id"), "id", "left_anti")
         new = materialise(new.select(F.col("id").cast("long").alias("id"), F.lit(kind).alias("kind"), F.col("source").cast("long").alias("source")))
         waiting[kind] = waiting[kind].limit(0)
-        waiting = {k: w.unionByName(new.select("id")) for k, w in waiting.items()}
+        waiting = {x: w.unionByName(new.select("id")) for x, w in waiting.items()}
         found = found.unionByName(new)
+        if k % COMPACT == COMPACT - 1:
+            found = materialise(found, "found")
+            waiting = {x: w if w.isEmpty() else materialise(w, "waiting") for x, w in waiting.items()}
     raise RuntimeError("the search didn't end")
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import codec
+from ..functions import bits, codec
 from ..operators import gadget_ops
 from ..operators import intervals as iv
 from ..operators import relations as rel
@@ -428,6 +428,30 @@ def codec_delta(s, d):
     return codec.undeltas(codec.deltas(lines, ["k"], "v").withColumnRenamed("v", "order"), ["k"], "order", name="v").drop("order")
 
 
+BITSETS = "SELECT o_orderkey AS id, o_orderkey * 2654435761 % 281474976710656 AS x, CAST(o_custkey % 40 AS INTEGER) AS k FROM orders"
+
+
+@query("codec_bits", f"""SELECT id, x | ((CAST(1 AS BIGINT) << 40) - (CAST(1 AS BIGINT) << 33)) AS put, x & ~(CAST(1 AS BIGINT) << k) AS cleared, xor(x, CAST(1 AS BIGINT) << k) AS flipped, (x >> k) & 1 = 1 AS has, CAST(bit_count(x) AS INTEGER) AS n,
+    CASE WHEN x <> 0 THEN CAST(list_position(string_split(reverse(bin(x)), ''), '1') - 1 AS INTEGER) END AS first,
+    CASE WHEN x >> (k + 1) <> 0 THEN CAST(list_position(string_split(reverse(bin(x >> (k + 1))), ''), '1') + k AS INTEGER) END AS following FROM ({BITSETS})""")
+def codec_bits(s, d):
+    """Bit sets: single bits and ranges set, cleared and flipped; members counted and looked up."""
+    x, k = (F.col("o_orderkey") * 2654435761 % (1 << 48)), (F.col("o_custkey") % 40).cast("int")
+    sets = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), x.alias("x"), k.alias("k"))
+    x, k, one = F.col("x"), F.col("k"), bits.span(F.col("k"), F.col("k") + 1)
+    return sets.select("id", bits.put(x, bits.span(33, 40)).alias("put"), bits.clear(x, one).alias("cleared"), bits.flip(x, one).alias("flipped"), bits.has(x, k).alias("has"), bits.count(x).alias("n"), bits.first(x).alias("first"), bits.following(x, k).alias("following"))
+
+
+@query("codec_permutation", "SELECT o_orderkey AS id, concat(o_orderkey % 10, '-', o_custkey % 10, '-', o_orderkey % 7) AS plain, concat(o_orderkey % 7, '-', o_orderkey % 10, '-', o_custkey % 10) AS turned FROM orders")
+def codec_permutation(s, d):
+    """Three numbers turned by a permutation, and turned back."""
+    order = F.array(F.lit(2), F.lit(0), F.lit(1))
+    made = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.col("o_orderkey") % 10, F.col("o_custkey") % 10, F.col("o_orderkey") % 7).alias("v"))
+    turned = made.select("id", bits.permuted(F.col("v"), order).alias("t"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "-")
+    return turned.select("id", text(bits.unpermuted(F.col("t"), order)).alias("plain"), text(F.col("t")).alias("turned"))
+
+
 @query("codec_slls", "SELECT DISTINCT l_linenumber % 4 AS s, l_orderkey % 6 AS a, l_partkey % 6 AS b, l_suppkey % 4 AS t, ((l_orderkey % 6 * 6 + l_partkey % 6) * 4 + l_linenumber % 4) * 4 + l_suppkey % 4 AS code FROM lineitem")
 def codec_slls(s, d):
     e = table(s, d, "lineitem").select((F.col("l_linenumber") % 4).alias("s"), (F.col("l_orderkey") % 6).alias("a"), (F.col("l_partkey") % 6).alias("b"), (F.col("l_suppkey") % 4).alias("t")).distinct()

@@ -109,7 +109,7 @@ def test_normal_forms_keep_the_language(seed):
     left, both = (lambda y: y.optimize("left")), (lambda y: y.optimize("both"))
     for form in (A.Automaton.determinize, A.Automaton.minimize, A.Automaton.canonical, A.Automaton.optimize, left, both, A.Automaton.remove_dead, A.Automaton.totalize):
         assert language(form(x), 7) == want
-    assert A.parse(A.serialize(x)) == x and A.unpack(A.pack(x)) == x
+    assert eval(repr(x), {"Automaton": A.Automaton}) == x and A.parse(A.serialize(x)) == x and A.unpack(A.pack(x)) == x
     order = list(range(1, 6))
     random.Random(seed).shuffle(order)
     assert x.renumber_states([0, *order]).canonical() == x.canonical()
