@@ -591,3 +591,18 @@ def test_cross_parsing_against_its_definition(monkeypatch):
         monkeypatch.setattr(langid, "LONG", long)
         got = model.phrases(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
         assert got.tolist() == want
+
+
+def test_components(spark):
+    """Chains, stars, cycles, dense groups and random graphs against brute force; no edges give no rows."""
+    rng = np.random.default_rng(12)
+    graphs = [[(k, k + 1) for k in range(40)], [(99, k) for k in range(30)], [(k, (k + 1) % 9) for k in range(9)], [(3, 3), (4, 5), (5, 4)], []]
+    graphs += [[tuple(map(int, e)) for e in rng.integers(0, 60, (n, 2))] for n in (20, 45, 200)]
+    for edges in graphs:
+        root = {x: x for e in edges for x in e}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        linked = {x for a, b in edges if a != b for x in (a, b)}
+        got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert sorted((r.node, r.root) for r in got) == sorted((x, root[x]) for x in linked)
