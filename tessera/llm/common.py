@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -67,6 +69,25 @@ def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the machine: Spark keeps idle workers, of which each holds what it held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(run):
+    """A function over batches that gives memory back at the end of each task."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def slices(texts: pa.Array, most_bytes: int = 1 << 20):
     """Cut an array of texts into runs of about most_bytes, at least one text each: bounds memory."""
     lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)

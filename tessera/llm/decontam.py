@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, slices, stage
+from .common import OWN, giving_back, slices, stage
 
 #: Tokens of a seed, also the shortest tile; an item of fewer tokens is matched whole.
 SEED = 5
@@ -211,6 +211,7 @@ def _match_column(text: Column, index: Index, spark, kind: str) -> Column:
             found = [m for part in slices(texts, 2 << 20) for m in index.matches(part.to_pylist())]
             yield pa.array([[{"coverage": c, "item_id": i} for c, i in m] for m in found], pa.list_(pa.struct([("coverage", pa.float64()), ("item_id", pa.int64() if kind == "long" else pa.string())])))
 
+    match = giving_back(match)
     match.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(match, f"array<struct<coverage:double,item_id:{kind}>>")(text)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, id_fold, slices, utf8
+from .common import OWN, giving_back, id_fold, slices, utf8
 
 #: Bytes of labelled text for each language, characters of a window of one document, and documents at most.
 SAMPLE_BYTES, WINDOW, SAMPLE_DOCS = 24_000, 800, 200
@@ -220,6 +220,7 @@ def predict(text: Column, model, spark) -> Column:
                 scores.append(score)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["lang_pred", "score"])
 
+    parse = giving_back(parse)
     parse.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     none = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if not model.langs:

@@ -9,13 +9,15 @@ them with all others. So a large group of near copies, which the first wave conn
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, of_rows, stage
+from .common import OWN, giving_back, of_rows, stage
 from .exact_dedup import WHITE
 from .simhash import components, near_duplicates
 
@@ -55,10 +57,12 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def bands(text: Column) -> Column:
-    def make(texts: pa.Array) -> pa.Array:
-        return pa.array([band_keys(shingles(t.as_py())) for t in texts], pa.list_(pa.int64()))
+    def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([band_keys(shingles(t.as_py())) for t in texts], pa.list_(pa.int64()))
 
-    make.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    make = giving_back(make)
+    make.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(make, "array<long>")(text)
 
 
@@ -125,7 +129,7 @@ def groups(points: DataFrame, cells: DataFrame, texts: DataFrame) -> DataFrame:
 
     def compared(tasks: DataFrame) -> DataFrame:
         full = tasks.join(some, "row").select("task", "row", "root", "text").repartition("task").sortWithinPartitions("task")
-        return stage(full.mapInArrow(_compare, "a long, b long"), "copies-links")
+        return stage(full.mapInArrow(giving_back(_compare), "a long, b long"), "copies-links")
 
     part = F.pmod(F.xxhash64("row", "cell"), "parts").cast("int")
     first = compared(met.where("early").select("row", F.col("row").alias("root"), F.xxhash64("cell", part).alias("task")))

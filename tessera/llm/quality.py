@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, id_fold, slices, utf8
+from .common import OWN, giving_back, id_fold, slices, utf8
 
 BUCKET_BITS, DIM, ORDERS = 17, 8, (3, 4)
 #: Labelled documents that a fit uses at most, and characters of the window that it takes of each.
@@ -149,6 +149,7 @@ def score(text: Column, model: Model, spark) -> Column:
             parts = [shared.value.score(t) for t in slices(texts, 1 << 17)]
             yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
+    scores = giving_back(scores)
     scores.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(scores, "double")(text)
 

@@ -10,6 +10,7 @@ cell compares what the lower bound lets through exactly. Equal fingerprints are
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, stage
+from .common import OWN, giving_back, stage
 
 #: Groups of segments by the most points that they serve: with more groups, cells are smaller and a point is in more of them.
 GROUPS = {100_000_000: 7, 3_000_000_000: 8, 1 << 62: 10}
@@ -54,10 +55,12 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
 def fingerprints(text: Column, shingle: int = 4) -> Column:
     """The fingerprint of each whole text as a signed long; null counts as empty."""
 
-    def make(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64), pa.int64())
+    def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64), pa.int64())
 
-    make.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    make = giving_back(make)
+    make.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(make, "long")(text)
 
 
@@ -176,7 +179,7 @@ def links(points: DataFrame, most: int = 4, groups: int | None = None) -> DataFr
     many = dealt.where("parts is not null").select("fp", "cell", "own", other)
     many = many.select("fp", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
     tasks = one.unionByName(many).repartition("task").sortWithinPartitions("task")
-    return tasks.mapInArrow(_pairs(most), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("_")).select("a", "b")
+    return tasks.mapInArrow(giving_back(_pairs(most)), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("_")).select("a", "b")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -13,7 +13,6 @@ document's control bytes begin afresh. The table `ranks` beside the files holds
 from __future__ import annotations
 
 import contextlib
-import ctypes
 import functools
 import itertools
 import json
@@ -29,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import token_counts
+from . import common, token_counts
 from .common import slices, stage, work_dir
 
 MAGIC = b"TZIDS\x00\x00\x01"
@@ -41,7 +40,7 @@ MAX_PARTS = 100_000
 BROADCAST_ROWS = 100_000
 #: Distinct words that a worker remembers; beyond, or beyond four ids or 16 characters a word in all, it forgets those met
 #: once since it last did so and those longer than REMEMBERED_LENGTH.
-REMEMBERED, REMEMBERED_LENGTH = 450_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 250_000, 64
 #: Seconds after its last task at which a worker gives its words' memory back; Spark may keep idle workers for long.
 IDLE = 2
 #: Bytes of texts that are encoded at once.
@@ -225,11 +224,9 @@ def _words(path: str, end_id: int) -> Words:
 
 
 def give_back() -> None:
-    """Return the memory of remembered words to the machine."""
+    """Forget all words and return their memory to the machine."""
     _words.cache_clear()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError):  # not every C library has it
-        ctypes.CDLL(None).malloc_trim(0)
+    common.give_back()
 
 
 _idle = threading.Timer(IDLE, give_back)
