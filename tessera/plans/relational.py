@@ -389,14 +389,17 @@ def store_sort(s, d):
 VALUES = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE o_orderkey * o_orderkey * o_custkey END AS v FROM orders"
 
 
-def values(s, d):
+def values(s, d, kind="long"):
+    """As `decimal(20,0)` the products are exact up to 38 digits, beyond that an error; as longs an error beyond 63 bits."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return table(s, d, "orders").select(k.alias("id"), F.when(k % 3 == 0, k).otherwise(k * k * c).alias("v"))
+    wide = k.cast(kind)
+    return table(s, d, "orders").select(k.alias("id"), F.when(k % 3 == 0, wide).otherwise(wide * wide * c).alias("v"))
 
 
 @query("codec_varint_len", f"SELECT id, CASE {' '.join(f'WHEN v < {1 << 7 * k} THEN {k}' for k in range(1, 9))} ELSE 9 END AS n, CASE WHEN v <= 244 THEN 1 WHEN v <= 2291 THEN 2 WHEN v <= 67827 THEN 3 WHEN v <= 16777215 THEN 4 ELSE 5 END AS m FROM ({VALUES})")
 def codec_varint_len(s, d):
-    return values(s, d).select("id", codec.varint_length(F.col("v")).alias("n"), codec.varint32_length(F.col("v")).alias("m"))
+    """Values that a form can't write count as its longest, as the ELSE of the SQL has it."""
+    return values(s, d, "decimal(20,0)").select("id", codec.varint_length(F.col("v")).alias("n"), codec.varint32_length(F.col("v")).alias("m"))
 
 
 @query("codec_varint_bytes", f"""WITH v AS ({VALUES}), n AS (SELECT id, v, v % 4294967296 AS w, CASE {' '.join(f'WHEN v < {1 << 7 * k} THEN {k}' for k in range(1, 9))} ELSE 9 END - 1 AS more FROM v),

@@ -9,6 +9,7 @@ import pytest
 from tessera.functions import codec
 from tessera.operators import relations as rel
 from tessera.operators import search
+from tessera.plans import relational
 
 E = "kind string, in1 long, out long"
 
@@ -94,3 +95,17 @@ def test_varints(form, top):
     for bad in (-1, top):
         with pytest.raises(ValueError):
             write(bad)
+
+
+def test_varint_lengths_of_wide_products(spark, tmp_path):
+    """Products beyond 63 and 64 bits, as larger orders have them."""
+    tops = [1 << 7 * k for k in range(1, 9)] + [t + 1 for t in codec.VARINT32_TOP]
+    orders = [(1, v) for t in tops for v in (t - 1, t)] + [(1, (1 << 63) - 1), (2, 1 << 61), (2, (1 << 62) - 1), (2, 1 << 62), (8999998, 899999), (10**10, 10**10), (9, 1 << 62), (1, 0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    want = []
+    for k, c in orders:
+        v = k if k % 3 == 0 else k * k * c
+        want.append((k, len(codec.write_varint(v)) if v < 1 << 64 else 9, len(codec.write_varint32(v)) if v < 1 << 32 else 5))
+    got = relational.codec_varint_len(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"id": "bigint", "n": "int", "m": "int"}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
