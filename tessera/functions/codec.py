@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,19 +109,20 @@ FORMS = {"unary": (write_varint, read_varint), "64": (write_varint64, read_varin
 
 
 def varints(values: Column, form: str = "64") -> Column:
-    """The bytes of an array of non-negative longs."""
+    """The bytes of an array of non-negative longs, or of decimals without fraction below 2^64."""
     write = FORMS[form][0]
 
     def coded(lists: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else b"".join(map(write, x)) for x in lists.to_pylist()], pa.binary())
+        return pa.array([None if x is None else b"".join(map(write, map(int, x))) for x in lists.to_pylist()], pa.binary())
 
     coded.__annotations__ = {"lists": pa.Array, "return": pa.Array}
     return F.arrow_udf(coded, "binary")(values)
 
 
-def unvarints(data: Column, form: str = "64") -> Column:
-    """The array of longs that the bytes hold."""
+def unvarints(data: Column, form: str = "64", kind: str = "long") -> Column:
+    """The array of longs that the bytes hold; a `decimal(20,0)` also holds values from 2^63 to 2^64."""
     read = FORMS[form][1]
+    own = {"long": pa.int64(), "decimal(20,0)": pa.decimal128(20, 0)}[kind]
 
     def values(whole: bytes) -> list[int]:
         out, at = [], 0
@@ -129,10 +132,26 @@ def unvarints(data: Column, form: str = "64") -> Column:
         return out
 
     def decoded(blobs: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else values(x) for x in blobs.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([None if x is None else values(x) for x in blobs.to_pylist()], pa.list_(own))
 
     decoded.__annotations__ = {"blobs": pa.Array, "return": pa.Array}
-    return F.arrow_udf(decoded, "array<long>")(data)
+    return F.arrow_udf(decoded, f"array<{kind}>")(data)
+
+
+#: As a decimal, since a literal of a long doesn't hold it.
+WORD = Decimal(1 << 64)
+
+
+def words(v: Column) -> Column:
+    """A non-negative `decimal(38,0)` as its 64-bit words, the low one first: one below 2^64, two beyond; null for null. No form
+    has bytes for a single value beyond 64 bits."""
+    low = (v % F.lit(WORD)).cast("decimal(20,0)")
+    return F.when(v < F.lit(WORD), F.array(low)).when(v.isNotNull(), F.array(low, F.call_function("div", v, F.lit(WORD)).cast("decimal(20,0)")))
+
+
+def unwords(parts: Column) -> Column:
+    """The `decimal(38,0)` of its words."""
+    return (F.get(parts, F.lit(0)) + F.coalesce(F.get(parts, F.lit(1)), F.lit(0)) * F.lit(WORD)).cast("decimal(38,0)")
 
 
 def deltas(df, by: list[str], value: str):

@@ -396,6 +396,14 @@ def values(s, d, kind="long"):
     return table(s, d, "orders").select(k.alias("id"), F.when(k % 3 == 0, wide).otherwise(wide * wide * c).alias("v"))
 
 
+def fitted(s, d):
+    """(values, whether they are longs): as longs where all fit, as the SQL has them; else all exact decimals."""
+    exact = values(s, d, "decimal(20,0)")
+    top = exact.agg(F.max(F.abs("v"))).first()[0]
+    longs = top is None or top < 1 << 63
+    return exact.withColumn("v", F.col("v").cast("long" if longs else "decimal(38,0)")), longs
+
+
 @query("codec_varint_len", f"SELECT id, CASE {' '.join(f'WHEN v < {1 << 7 * k} THEN {k}' for k in range(1, 9))} ELSE 9 END AS n, CASE WHEN v <= 244 THEN 1 WHEN v <= 2291 THEN 2 WHEN v <= 67827 THEN 3 WHEN v <= 16777215 THEN 4 ELSE 5 END AS m FROM ({VALUES})")
 def codec_varint_len(s, d):
     """Values that a form can't write count as its longest, as the ELSE of the SQL has it."""
@@ -417,11 +425,14 @@ def codec_varint_bytes(s, d):
 
 @query("codec_varint_back", f"SELECT id, v, v % 4294967296 AS w FROM ({VALUES})")
 def codec_varint_back(s, d):
-    """All three forms, written and read again, side by side in one array."""
-    v, w = F.col("v"), F.col("v") % (1 << 32)
-    first = lambda x, form: F.element_at(codec.unvarints(codec.varints(F.array(x, x), form), form), 2)
-    same = lambda x, *forms: F.when(F.array_min(F.array(*[first(x, f) for f in forms])) == F.array_max(F.array(*[first(x, f) for f in forms])), first(x, forms[0]))
-    return values(s, d).select("id", same(v, "unary", "64").alias("v"), first(w, "32").alias("w"))
+    """All three forms, written and read again, side by side in one array. `v` is a long where all values fit, as in the SQL,
+    else a `decimal(38,0)`, whose words are written."""
+    made, longs = fitted(s, d)
+    kind = "long" if longs else "decimal(20,0)"
+    made = made.withColumn("x", F.when(F.col("v").isNotNull(), F.array("v")) if longs else codec.words(F.col("v"))).withColumn("w", (F.col("v") % (1 << 32)).cast("long"))
+    back = lambda x, form, kind: F.slice(codec.unvarints(codec.varints(F.concat(x, x), form), form, kind), F.size(x) + 1, F.size(x))
+    read = made.select("id", back(F.col("x"), "unary", kind).alias("a"), back(F.col("x"), "64", kind).alias("b"), back(F.when(F.col("w").isNotNull(), F.array("w")), "32", "long").alias("c"))
+    return read.select("id", F.when(F.col("a") == F.col("b"), F.get("a", F.lit(0)) if longs else codec.unwords(F.col("a"))).alias("v"), F.get("c", F.lit(0)).alias("w"))
 
 
 @query("codec_delta", "SELECT l_orderkey AS k, l_partkey AS v, l_partkey - coalesce(lag(l_partkey) OVER w, 0) AS delta FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_partkey)")

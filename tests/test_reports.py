@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import pytest
 
@@ -109,3 +110,20 @@ def test_varint_lengths_of_wide_products(spark, tmp_path):
     got = relational.codec_varint_len(spark, str(tmp_path))
     assert dict(got.dtypes) == {"id": "bigint", "n": "int", "m": "int"}
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+WIDE = [(1, 0), (3, 1), (4, 300), (1, (1 << 63) - 1), (2, 1 << 61), (2, (1 << 62) - 1), (2, 1 << 62), (2, (1 << 62) + 1), (8999998, 899999), (10**10, 10**10), (5, None)]
+
+
+def products(spark, path, orders):
+    """Writes the orders; (key, exact value) of each."""
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{path}/orders.parquet")
+    return [(k, k if k % 3 == 0 else None if c is None else k * k * c) for k, c in orders]
+
+
+@pytest.mark.parametrize("orders, kind", [(WIDE, "decimal(38,0)"), (WIDE[:4] + WIDE[-1:], "bigint"), ([(4 * 10**9, 0)], "bigint"), ([], "bigint")])
+def test_varints_of_wide_products_read_again(spark, tmp_path, orders, kind):
+    want = [(k, v, None if v is None else v % (1 << 32)) for k, v in products(spark, tmp_path, orders)]
+    got = relational.codec_varint_back(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"id": "bigint", "v": kind, "w": "bigint"}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(k, v if v is None or kind == "bigint" else Decimal(v), w) for k, v, w in want], key=str)
