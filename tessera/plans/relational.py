@@ -397,11 +397,14 @@ def values(s, d, kind="long"):
 
 
 def fitted(s, d):
-    """(values, whether they are longs): as longs where all fit, as the SQL has them; else all exact decimals."""
+    """(values `v` with their words `x` and the lower 32 bits `w`, whether values are longs): as longs where all fit, as the SQL has
+    them; else all exact decimals."""
     exact = values(s, d, "decimal(20,0)")
     top = exact.agg(F.max(F.abs("v"))).first()[0]
     longs = top is None or top < 1 << 63
-    return exact.withColumn("v", F.col("v").cast("long" if longs else "decimal(38,0)")), longs
+    made = exact.withColumn("v", F.col("v").cast("long" if longs else "decimal(38,0)"))
+    x = F.when(F.col("v").isNotNull(), F.array("v")) if longs else codec.words(F.col("v"))
+    return made.withColumns({"x": x, "w": F.when(F.col("v").isNotNull(), F.array((F.col("v") % (1 << 32)).cast("long")))}), longs
 
 
 @query("codec_varint_len", f"SELECT id, CASE {' '.join(f'WHEN v < {1 << 7 * k} THEN {k}' for k in range(1, 9))} ELSE 9 END AS n, CASE WHEN v <= 244 THEN 1 WHEN v <= 2291 THEN 2 WHEN v <= 67827 THEN 3 WHEN v <= 16777215 THEN 4 ELSE 5 END AS m FROM ({VALUES})")
@@ -419,8 +422,9 @@ def codec_varint_len(s, d):
         WHEN w <= 67827 THEN 'fd' || lpad(to_hex(w - 2292), 4, '0') ELSE CASE WHEN wide <= 3 THEN 'fe' ELSE 'ff' END || array_to_string(list_transform(range(CASE WHEN wide <= 3 THEN 3 ELSE 4 END), lambda i: lpad(to_hex((w >> (8 * i)) & 255), 2, '0')), '') END) AS short
     FROM b""")
 def codec_varint_bytes(s, d):
-    hexed = lambda v, form: F.lower(F.hex(codec.varints(F.array(v), form)))
-    return values(s, d).select("id", hexed(F.col("v"), "unary").alias("unary"), hexed(F.col("v"), "64").alias("long"), hexed(F.col("v") % (1 << 32), "32").alias("short"))
+    """A value beyond 64 bits, which no form holds, has the bytes of its two words, the low one first."""
+    hexed = lambda x, form: F.lower(F.hex(codec.varints(F.col(x), form)))
+    return fitted(s, d)[0].select("id", hexed("x", "unary").alias("unary"), hexed("x", "64").alias("long"), hexed("w", "32").alias("short"))
 
 
 @query("codec_varint_back", f"SELECT id, v, v % 4294967296 AS w FROM ({VALUES})")
@@ -429,9 +433,8 @@ def codec_varint_back(s, d):
     else a `decimal(38,0)`, whose words are written."""
     made, longs = fitted(s, d)
     kind = "long" if longs else "decimal(20,0)"
-    made = made.withColumn("x", F.when(F.col("v").isNotNull(), F.array("v")) if longs else codec.words(F.col("v"))).withColumn("w", (F.col("v") % (1 << 32)).cast("long"))
     back = lambda x, form, kind: F.slice(codec.unvarints(codec.varints(F.concat(x, x), form), form, kind), F.size(x) + 1, F.size(x))
-    read = made.select("id", back(F.col("x"), "unary", kind).alias("a"), back(F.col("x"), "64", kind).alias("b"), back(F.when(F.col("w").isNotNull(), F.array("w")), "32", "long").alias("c"))
+    read = made.select("id", back("x", "unary", kind).alias("a"), back("x", "64", kind).alias("b"), back("w", "32", "long").alias("c"))
     return read.select("id", F.when(F.col("a") == F.col("b"), F.get("a", F.lit(0)) if longs else codec.unwords(F.col("a"))).alias("v"), F.get("c", F.lit(0)).alias("w"))
 
 

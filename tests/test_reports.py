@@ -127,3 +127,17 @@ def test_varints_of_wide_products_read_again(spark, tmp_path, orders, kind):
     got = relational.codec_varint_back(spark, str(tmp_path))
     assert dict(got.dtypes) == {"id": "bigint", "v": kind, "w": "bigint"}
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(k, v if v is None or kind == "bigint" else Decimal(v), w) for k, v, w in want], key=str)
+
+
+@pytest.mark.parametrize("orders", [WIDE, WIDE[:4] + WIDE[-1:], []])
+def test_varint_bytes_of_wide_products(spark, tmp_path, orders):
+    """Values beyond 64 bits as words, so that no two values have the same bytes."""
+    want = []
+    for k, v in products(spark, tmp_path, orders):
+        words = [] if v is None else [v] if v < 1 << 64 else [v % (1 << 64), v >> 64]
+        forms = [None if v is None else b"".join(map(write, words)).hex() for write in (codec.write_varint, codec.write_varint64)]
+        want.append((k, *forms, None if v is None else codec.write_varint32(v % (1 << 32)).hex()))
+    got = relational.codec_varint_bytes(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"id": "bigint", "unary": "string", "long": "string", "short": "string"}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert len({r[1] for r in want}) == len({r[2] for r in want}) == len({v for _, v in products(spark, tmp_path / "again", orders)})
